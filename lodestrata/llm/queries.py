@@ -10,6 +10,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_repeated_lines
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_lines(docs, counts=True).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import with_successor_edits
 
@@ -36,6 +43,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
