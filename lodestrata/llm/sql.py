@@ -26,4 +26,26 @@ SELECT d.doc_id, d.size, s.source_size, s.target,
 FROM docs d JOIN src s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-ORACLE_SQL = {"op6_mixing": OP6}
+CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _escaped(c: str) -> str:
+    c = f"replace({c}, chr(92), chr(92) || chr(92))"
+    for s in CONTROL:
+        c = f"replace({c}, '{s}', '{s[0]}' || chr(92) || '{s[1:]}')"
+    return c
+
+
+OP1 = f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_escaped("role")}) + length({_escaped("text")}) + {len("<|im_start|>") + len("<|im_sep|>") + len("<|im_end|>") + 1}) AS BIGINT) AS formatted_chars
+FROM every GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op1_chat_formatting": OP1, "op6_mixing": OP6}
