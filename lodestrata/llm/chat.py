@@ -69,8 +69,10 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while (1 << len(levels)) <= deepest and now.where("up is not null").limit(1).count():
         levels.append(now.where("up is not null").select("t", "node", "up"))
         far = now.select(F.col("t").alias("t2"), F.col("node").alias("at"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
-        both = now.join(far, (F.col("t") == F.col("t2")) & (F.col("up") == F.col("at")), "left")
-        now = written(both.select("t", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
+        # only messages that don't see the root yet are joined; the others are done
+        both = now.where("up is not null").join(far, (F.col("t") == F.col("t2")) & (F.col("up") == F.col("at")))
+        seen = both.select("t", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("total") + F.col("total2")).alias("total"))
+        now = written(now.where("up is null").union(seen))
     return levels, now.where("up is null").select("t", "node", "n", "total")
 
 
