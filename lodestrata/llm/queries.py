@@ -52,6 +52,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import all_spans, joined_spans, spans
+
+    rows = spans(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(all_spans()).alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
