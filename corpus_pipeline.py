@@ -5,27 +5,62 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestrata.llm._cluster import shared_dir
+from lodestrata.llm.line_dedup import without_repeated_lines
+from lodestrata.llm.mixing import mixture
+from lodestrata.llm.ngram_join import one_of_each
+from lodestrata.llm.packing import packed_documents
 from lodestrata.llm.quality import keep_good
 
 
+def _with_lengths(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier test reject go."""
     return keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are alike one stays; documents left without any line go."""
+    return _with_lengths(without_repeated_lines(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked the one with the smallest id stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return _with_lengths(mixture(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece: its sequence and its place there."""
+    return packed_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL expresses neither the covariance estimates nor the fuzzy line components.
+#: SQL expresses neither the covariance estimates nor the components of fuzzy lines.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
-    from lodestrata.llm._cluster import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
