@@ -43,7 +43,8 @@ def markers(lines: DataFrame, kinds: Mapping[str, float] = MARKERS, prefix: str
     """Work markers in comments, the first of each line. blame(path, line, author, author_ts) makes recent ones count 0.1 more."""
     pattern = rf"(?i){prefix}({'|'.join(kinds)})\b(?:\([^)]*\))?\s*[:>\-]?\s*(.*)"
     word = F.upper(F.regexp_extract("text", pattern, 1))
-    message = F.trim(F.regexp_replace(F.trim(F.regexp_extract("text", pattern, 2)), r"\*/$", ""))
+    blank = F.lit(" \t\r\n")
+    message = F.btrim(F.regexp_replace(F.btrim(F.regexp_extract("text", pattern, 2), blank), r"\*/$", ""), blank)
     x = lines.where(F.col("text").rlike(pattern)).withColumn("word", word).withColumn("message", message)
     x = x.where(outside_literal(F.col("text"), F.greatest(F.regexp_instr("text", F.lit(pattern)) - 1, F.lit(0))))
     base = F.coalesce(*[F.when(F.col("word") == k.upper(), v) for k, v in kinds.items()])

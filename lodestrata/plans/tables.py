@@ -7,10 +7,19 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Removes the shuffle files of a finished execution; its table is complete, nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage by writing and rereading; survives lost executors."""
     spark = df.sparkSession
     folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
     path = f"{folder}/lodestrata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
