@@ -61,3 +61,22 @@ def markdown(signals: DataFrame) -> str:
 def envelope(signals: DataFrame, generated_at: str) -> str:
     rows = [json.loads(r["j"]) for r in signals.orderBy("source", "file_path", "line", "title").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
     return json.dumps({"signals": rows, "metadata": {"total": len(rows), "collectors": sorted({r["source"] for r in rows}), "generated_at": generated_at}})
+
+
+def tasks(signals: DataFrame) -> DataFrame:
+    """value: one JSON object a signal (with signal_id), as a list of tasks shows it."""
+    named = F.lower("title").startswith(F.concat("kind", F.lit(":")))
+    subject = F.when(named, F.col("title")).otherwise(F.concat_ws(": ", F.upper("kind"), "title"))
+    meta = F.create_map(F.lit("source"), F.col("source"), F.lit("kind"), F.col("kind"), F.lit("file"), F.coalesce("file_path", F.lit("")), F.lit("signal_id"), F.col("signal_id"), F.lit("confidence"), F.format_number("confidence", 2))
+    return signals.select(F.to_json(F.struct(subject.alias("subject"), F.concat(F.lit("Working on "), F.col("title")).alias("activeForm"), F.lit("pending").alias("status"), meta.alias("metadata"))).alias("value"))
+
+
+def html(signals: DataFrame, title: str = "Signals") -> str:
+    """One page: counts by source and kind, then a table of all signals."""
+    from html import escape
+
+    counts = signals.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("source", F.desc("n"), "kind").toLocalIterator()
+    head = "".join(f"<tr><td>{escape(r['source'])}</td><td>{escape(r['kind'])}</td><td>{r['n']}</td></tr>" for r in counts)
+    rows = signals.orderBy("source", "file_path", "line", "title").toLocalIterator()
+    body = "".join(f"<tr><td>{escape(r['kind'])}</td><td>{escape(r['file_path'] or '')}:{r['line']}</td><td>{escape(r['title'])}</td><td>{r['confidence']:.2f}</td></tr>" for r in rows)
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{head}</table><table>{body}</table></body></html>"

@@ -183,3 +183,58 @@ def test_queries_match_sql(spark):
         got = sorted(tuple(text(v) for v in r) for r in df.select(*cols).collect())
         want = sorted(tuple(text(v) for v in r) for r in c.execute(f"SELECT {', '.join(chr(34) + x + chr(34) for x in cols)} FROM ({Q.ORACLE_SQL[name]})").fetchall())
         assert got == want, name
+
+
+def test_file_walk(spark, tmp_path):
+    from lodestrata.sources import files as X
+
+    for p, c in {"a/x.py": b"one\ntwo", "a.go": b"// Code generated\n", "node_modules/m/i.js": b"x", "b/blob.bin": b"ab\0c", "b/y.md": b"z"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(c)
+    w = X.walk(spark, str(tmp_path))
+    assert [r.path for r in w.orderBy(F.split("path", "/")).collect()] == ["a/x.py", "a.go", "b/blob.bin", "b/y.md"]
+    t = X.generated(X.text_files(w))
+    assert {(r.path, r.generated) for r in t.collect()} == {("a/x.py", False), ("a.go", True), ("b/y.md", False)}
+    assert [r.path for r in X.walk(spark, str(tmp_path), include=("*.md",)).collect()] == ["b/y.md"]
+
+
+def test_history_readers(spark):
+    from lodestrata.sources import history as H
+
+    text = ["abcdef1|Ann|B|2024-01-02T03:04:05+00:00", "", "3\t1\tsrc/{old => new}/f.py", "-\t-\tpic.png", "bbbbbbb|Cy|2024-01-03T00:00:00+00:00", "1\t0\ta.py => b.py"]
+    got = H.numstat(spark.createDataFrame([("r", i, v) for i, v in enumerate(text)], "repo string, line int, value string")).collect()
+    assert {(r.sha, r.author, r.added, r.path) for r in got} == {("abcdef1", "Ann|B", 3, "src/new/f.py"), ("abcdef1", "Ann|B", None, "pic.png"), ("bbbbbbb", "Cy", 1, "b.py")}
+    a, b = "a" * 40, "b" * 40
+    text = [f"{a} 1 1 1", "author Ann", "author-time 1700000000", "\tone", f"{b} 2 2 1", "author Bo", "author-time 1700000100", "\ttwo", f"{a} 3 3", "\tthree"]
+    got = H.blame(spark.createDataFrame([("f", i, v) for i, v in enumerate(text)], "path string, line int, value string")).collect()
+    assert {(r.line, r.author) for r in got} == {(1, "Ann"), (2, "Bo"), (3, "Ann")}
+
+
+def test_settings_readers(spark):
+    from lodestrata.sources import settings as S
+
+    lines = lambda p, t: [(p, i + 1, x) for i, x in enumerate(t.split("\n"))]
+    schema = "path string, line int, text string"
+    got = S.dotenv(spark.createDataFrame(lines(".env", "# c\nA = 1\nB=x=y\n=bad\nA=2\n"), schema)).collect()
+    assert {(r.key, r.value) for r in got} == {("A", "2"), ("B", "x=y")}
+    y = "info:\n  /no: x\npaths:\n  /users/{id}:\n    get:\n  '/b':\nother:\n  /c:\n"
+    got = S.api_paths(spark.createDataFrame(lines("o.yaml", y) + lines("o.json", '{"/j": {\n"k": {'), schema)).collect()
+    assert {(r.file, r.route) for r in got} == {("o.yaml", "/users/{id}"), ("o.yaml", "/b"), ("o.json", "/j")}
+    f = spark.createDataFrame([("package.json", '{"workspaces": ["packages/*", "./apps/a"]}'), ("Cargo.toml", '[workspace]\nmembers = ["x"]')], "path string, content string")
+    assert {(r.kind, r.pattern) for r in S.workspaces(f).collect()} == {("package.json", "packages/*"), ("package.json", "apps/a")}
+
+
+def test_backlog_validator(spark):
+    from lodestrata.operators.validate import line_errors
+
+    rows = ['{"id": "a", "title": "t", "type": "bgu", "priority": 7, "labels": ["x"]}', "nonsense", "", '{"id": "b", "title": "t", "status": "open", "created_at": "2024-01-01T00:00:00Z"}', '{"id": "c", "closed_at": "soon"}']
+    got = {(r.line, r.field) for r in line_errors(spark.createDataFrame(list(enumerate(rows)), "line int, value string")).collect()}
+    assert got == {(0, "type"), (0, "priority"), (1, ""), (4, "title"), (4, "closed_at")}
+
+
+def test_more_sinks(marked):
+    from lodestrata.sources import sinks as K
+
+    rows = [json.loads(r.value) for r in K.tasks(marked).collect()]
+    assert {r["subject"] for r in rows} >= {"TODO: Add proper CLI argument parsing"} and len(rows) == 11
+    assert "Add cancel support" in K.html(marked)
