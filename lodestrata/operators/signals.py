@@ -11,9 +11,21 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import priority, signal_id
 
-SCHEMA = T._parse_datatype_string(
-    "source string, kind string, file_path string, line int, title string, description string, author string, timestamp timestamp, confidence double, "
-    "tags array<string>, closed_at timestamp, priority int, blocks array<string>, depends_on array<string>, workspace string"
+_TEXTS = T.ArrayType(T.StringType())
+SCHEMA = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("source", "kind", "file_path")],
+        T.StructField("line", T.IntegerType()),
+        *[T.StructField(n, T.StringType()) for n in ("title", "description", "author")],
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("tags", _TEXTS),
+        T.StructField("closed_at", T.TimestampType()),
+        T.StructField("priority", T.IntegerType()),
+        T.StructField("blocks", _TEXTS),
+        T.StructField("depends_on", _TEXTS),
+        T.StructField("workspace", T.StringType()),
+    ]
 )
 #: Kinds whose presence on a file raises its other signals, and by how much.
 BOOSTS = {"churn": 0.05, "vulnerable-dependency": 0.10, "low-lottery-risk": 0.05}
