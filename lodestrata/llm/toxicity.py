@@ -32,6 +32,8 @@ ANCHOR = bytes(range(1, 9)) * 2
 #: Ends every window: no match begins in the last bytes that are compressed.
 TAIL = bytes(8)
 PRIOR = 8.0
+#: Windows of a generation that a task remembers.
+REMEMBERED = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -110,7 +112,9 @@ class Differences:
 
         self.s = s
         self.bins = (2 * s.clip + 1) * self.SHARES
+        # classes of windows seen of late: a full generation becomes the older one, so frequent windows stay
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         p = Z.ZstdCompressionParameters.from_level(s.level, write_content_size=0, write_dict_id=0, format=Z.FORMAT_ZSTD1_MAGICLESS)
         self.compress = []
         for d in (ordinary, toxic):
@@ -125,13 +129,17 @@ class Differences:
 
     def __call__(self, text: bytes) -> np.ndarray:
         """How many windows of the text fall into each class."""
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         for w in windows(text, self.s):
             c = known.get(w)
             if c is None:
-                if len(known) >= 300_000:
-                    known.clear()
-                c = known[w] = self.of_window(w)
+                c = older.get(w)
+                if c is None:
+                    c = self.of_window(w)
+                if len(known) >= REMEMBERED:
+                    self.older = older = known
+                    self.known = known = {}
+                known[w] = c
             out.append(c)
         return np.bincount(np.array(out, np.int64), minlength=self.bins)
 
