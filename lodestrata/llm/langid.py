@@ -33,8 +33,9 @@ UND = "und"
 @dataclass(frozen=True)
 class Settings:
     features: int = 1 << 14
-    #: About so many labelled documents of each language are learned from.
+    #: About so many labelled documents of each language are learned from, of the most frequent languages.
     texts: int = 1500
+    languages: int = 256
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -188,10 +189,13 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:
     known = docs.where("lang is not null").where(~held_out("doc_id"))
     df, total = frequencies(known, s)
     idf = np.log((1 + total) / (1 + df)) + 1
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "lang").limit(s.languages).collect()
+    if not counts:
+        return Model(s, [], idf, np.zeros((s.features, 0)), np.zeros(0))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], s.texts / r["m"])])
     point = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_003)) / 1_000_003
     fold = F.when(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0, 1).otherwise(0)
-    some = known.select("doc_id", "text", "lang", fold.alias("fold"), point.alias("point")).join(counts, "lang").where(F.col("point") < s.texts / F.col("m"))
+    some = known.select("doc_id", "text", "lang", fold.alias("fold"), point.alias("point")).where(F.col("point") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
 
     def run(batches):
         import pyarrow as pa
