@@ -7,8 +7,9 @@ that share a band are verified by their exact Jaccard similarity (setjoin), and
 union-find joins the verified links. Of each component the line that comes first, by
 document id and line number, stays; all others go.
 
-With the default 9 bands of 3 rows a pair of similarity 0.8 is a candidate with
-probability 0.9984, one of 0.9 with 0.999998; equal lines always meet. Elements are
+With the default 18 bands of 6 rows out of 54 minimum hashes a pair of similarity 0.8
+is a candidate with probability 0.987, one of 0.85 with 0.999, one of 0.9 with 0.9999;
+equal lines always meet. Elements are
 64-bit hashes of shingles, and equal lines are found by a 64-bit hash.
 
 Defined results: lines without a word stay where they are and are never compared;
@@ -31,34 +32,41 @@ from .setjoin import bucket_links, components, release
 
 SHINGLE = 5
 PERCENT = 80
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 18, 6
 REMEMBERED = 300_000
+#: Bytes of documents taken at a time, and cells of a matrix of shingles.
+BLOCK, MATRIX = 1 << 21, 1 << 16
+#: Minimum hashes; each is a row of two bands, once with its neighbours and once with those of other groups.
+HASHES = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
-MULTIPLIERS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+MULTIPLIERS = (_rng.integers(0, 1 << 16, HASHES) | 1).astype(np.uint16)
+SHIFTS = _rng.integers(0, 1 << 16, HASHES).astype(np.uint16)
 BAND_TAGS = _rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+BAND_ROWS = np.array([[(j + t * turn) % (BANDS // 2) * ROWS + t for t in range(ROWS)] for turn in (0, 1) for j in range(BANDS // 2)])
+
+
+#: A to Z in lower case, white space but line feeds as blanks.
+NORMAL = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
 
 
 class Lines:
     """The lines with words of a block of documents, in normal form."""
 
     def __init__(self, texts: list[bytes]):
-        raw = np.frombuffer((b"\n".join(texts) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint32(32), raw)
-        feed = raw == 10
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        before = np.empty(len(raw), bool)
-        before[0] = True
-        before[1:] = blank[:-1]
-        keep = ~blank | feed | ~before  # the first of a run of blanks, all line feeds
-        code, feed, blank = raw[keep], feed[keep], blank[keep]
-        code = np.where(blank & ~feed, np.uint32(32), code)
+        data = (b"\n".join(texts) + b"\n").translate(NORMAL)
+        code = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        feed = code == 10
+        if b"  " in data or b"\n " in data or data[:1] == b" ":  # the first of a run of blanks stays, none after a line feed
+            blank = code == 32
+            before = np.ones(len(code), bool)
+            before[1:] = blank[:-1] | feed[:-1]
+            keep = ~(blank & before)
+            code, feed = code[keep], feed[keep]
         ends = np.flatnonzero(feed)
         begins = np.concatenate(([0], ends[:-1] + 1))
         n_lines = np.array([t.count(b"\n") + 1 for t in texts])
         owner = np.repeat(np.arange(len(texts)), n_lines)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-        lead = (code[begins] == 32) & (begins < ends)
-        begins = begins + lead
         trail = (ends > begins) & (code[np.maximum(ends - 1, 0)] == 32)
         ends = ends - trail
         held = ends > begins
@@ -88,14 +96,28 @@ class Lines:
 
 
 def band_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row a line of BANDS signatures, from its shingles' hashes."""
-    h = (h >> np.uint64(32)).astype(np.uint32)
+    """One row a line of BANDS signatures, from its shingles' hashes. Lines of about one length are handled as a matrix."""
+    parts = [(h >> np.uint64(16 * k)).astype(np.uint16) for k in range(4)]
+    size = np.diff(np.append(first, len(h)))
+    order = np.argsort(size, kind="stable")
     out = np.zeros((len(first), BANDS), np.uint64)
-    for i, m in enumerate(MULTIPLIERS):
-        low = np.minimum.reduceat(h * m, first)
-        band = out[:, i // ROWS]
-        band *= np.uint64(0xD6E8FEB86659FD93)
-        band += low
+    at = 0
+    while at < len(order):
+        rows = max(1, MATRIX // int(size[order[at]]))
+        which = order[at : at + rows]
+        while len(which) > 1 and (size[which[-1]] > 2 * size[which[0]] or size[which[-1]] * len(which) > 2 * MATRIX):
+            which = which[: (len(which) + 1) // 2]
+        at += len(which)
+        width = int(size[which[-1]])
+        cells = first[which][:, None] + np.minimum(np.arange(width), size[which][:, None] - 1)
+        mats = [p[cells] for p in parts]
+        lows = np.empty((len(which), HASHES), np.uint64)
+        for i, (k, c) in enumerate(zip(MULTIPLIERS, SHIFTS, strict=True)):
+            lows[:, i] = ((mats[i % 4] ^ c) * k).min(axis=1)
+        bands = np.zeros((len(which), BANDS), np.uint64)
+        for t in range(ROWS):
+            bands = bands * np.uint64(0xD6E8FEB86659FD93) + lows[:, BAND_ROWS[:, t]]
+        out[which] = bands
     return A.mix64(out + BAND_TAGS)
 
 
@@ -103,7 +125,7 @@ def _blocks(texts: list[bytes]):
     """Runs of documents of about a block's size."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
-        if i > lo and size + len(t) > A.BLOCK:
+        if i > lo and size + len(t) > BLOCK:
             yield lo, i
             lo, size = i, 0
         size += len(t) + 1
@@ -143,34 +165,43 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.where("id is not null and text is not null").mapInArrow(run, "id long, line long, node long, sigs array<long>")
 
 
-def _sets_of(docs: DataFrame, lines: DataFrame):
-    """Shingle sets of the asked lines, taken from the first document that holds each."""
+def _texts_of(docs: DataFrame, lines: DataFrame):
+    """The texts of the asked lines, taken from the first document that holds each."""
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        place = lines.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-        asked = place.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # at most a document's own lines
+    def fetch(ids: DataFrame) -> DataFrame:
+        place = lines.select("node", "id", "line").join(ids.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "line")).alias("p"))
+        asked = place.groupBy(F.col("p.id").alias("id")).agg(F.collect_list(F.struct("p.line", "node")).alias("asked"))  # at most a document's own lines
 
         def run(batches):
             import pyarrow as pa
 
             for b in batches:
-                texts = A.as_bytes(b.column(0))
-                wanted = [set(x) for x in b.column(1).to_pylist()]
-                for lo, hi in _blocks(texts):
-                    block = Lines(texts[lo:hi])
-                    hit = []
-                    for k, (o, v) in enumerate(zip(block.owner.tolist(), block.hashes().view(np.int64).tolist(), strict=True)):
-                        if v in wanted[lo + o]:
-                            wanted[lo + o].discard(v)
-                            hit.append((k, v))
-                    if hit:
-                        h, first = block.shingles(np.array([k for k, _ in hit]))
-                        sets = [np.unique(s).view(np.int64) for s in np.split(h, first[1:])]
-                        yield pa.RecordBatch.from_arrays([pa.array([v for _, v in hit], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
-
-        return docs.where("id is not null").join(asked, "id").select("text", "nodes").mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
-
-    return sets_of
+                nodes, found = [], []
+                for t, asked in zip(A.as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
+                    parts = t.split(b"\n")
+                    for x in asked:
+                        if x["line"] < len(parts):
+                            nodes.append(x["node"])
+                            found.append(parts[x["line"]])
+                for lo, hi in _blocks(found):
+                    block = Lines(found[lo:hi])
+                    node = np.array(nodes[lo:hi], np.int64)[block.owner]
+                    ok = np.flatnonzero(block.hashes().view(np.int64) == node)  # rows that share an id may differ
+                    yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([found[lo + k] for k in block.owner[ok]], pa.binary())], names=["id", "items"])
+
+        return docs.where("id is not null").join(asked, "id").select("text", "asked").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+
+    return fetch
+
+
+def elements(column) -> list[np.ndarray]:
+    """Distinct shingles of each line of an Arrow column of single lines with a word."""
+    texts, out = [b or b"" for b in column.to_pylist()], []
+    for lo, hi in _blocks(texts):
+        block = Lines(texts[lo:hi])
+        h, first = block.shingles(np.arange(len(block.begins)))
+        out += [np.unique(s) for s in np.split(h, first[1:])]
+    return out
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -178,7 +209,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     lines = written(_signed(own), codec="lz4")
     buckets = lines.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("node").alias("id"))
-    links = bucket_links(buckets, _sets_of(own, lines), percent)
+    links = bucket_links(buckets, _texts_of(own, lines), elements, percent)
     comp = components(links).withColumnRenamed("id", "node")
     release(docs.sparkSession)
     placed = lines.select("id", "line", "node").join(comp, "node", "left").select("id", "line", F.coalesce("component", "node").alias("c"))
