@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """What runs inside leaves no shuffle files behind: its result is complete, nothing reads them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, *, codec: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads them again. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

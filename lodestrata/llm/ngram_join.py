@@ -13,6 +13,11 @@ Empty contents would be shared by all sets that miss a subpart. They need a sign
 only if more than ``margin`` of the set's parts could be empty after dropping: a set
 with fewer of those agrees with every similar one in some part that is not empty.
 
+Where ``e`` parts could be empty, similar sets share more than ``margin - e`` signatures,
+so each set may leave out as many of its most frequent ones (the same order for all
+sets) and still meets every similar one: passages that many documents share make no
+candidates.
+
 All candidates are verified exactly (setjoin). Elements are 64-bit hashes of shingles.
 
 Defined results: null texts and texts without words have no shingles, are linked with
@@ -65,8 +70,8 @@ def parts_for(k: int) -> Parts:
         return Parts(1, 1, 0, 0)
     if k <= 3:
         return Parts(1, k + 3, k, 0)
-    if k <= 12:
-        return Parts(ceil((k + 1) / 2) + 1, 4, 1, 1)
+    if k <= 7:
+        return Parts(ceil((k + 1) / 2) + 2, 4, 1, 2)
     margin = ceil(0.12 * (k + 1)) + 3
     return Parts(k + 1 + margin, 1, 0, margin)
 
@@ -94,12 +99,12 @@ class Signer:
             self.known[band] = (p, p.choices)
         return self.known[band]
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        """items: sorted distinct uint64. Signatures for the set's band and the next."""
+    def signatures(self, items: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """items: sorted distinct uint64. For the set's band and the next: signatures, and how many of them a similar set shares at least besides one."""
         own = self.band(len(items))
-        return np.concatenate([self._of_band(items, b) for b in (own, own + 1)])
+        return [self._of_band(items, b) for b in (own, own + 1)]
 
-    def _of_band(self, items: np.ndarray, band: int) -> np.ndarray:
+    def _of_band(self, items: np.ndarray, band: int) -> tuple[np.ndarray, int]:
         p, choices = self.parts(band)
         part = ((items >> np.uint64(32)) * np.uint64(p.n1)) >> np.uint64(32)  # grows with the element
         value = A.mix64(items + np.uint64(0x51ED270B0A1F39C1))
@@ -108,9 +113,10 @@ class Signer:
             at = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
             held = part[at].astype(np.int64)
             out = A.mix64(np.add.reduceat(value, at) + tag[held])
-            if p.n1 - len(held) > p.margin:
+            spare = p.margin - (p.n1 - len(held))
+            if spare < 0:
                 out = np.concatenate((out, np.setdiff1d(tag, tag[held])))
-            return out
+            return out, max(spare, 0)
         sub = ((A.mix64(items) >> np.uint64(32)) * np.uint64(p.n2)) >> np.uint64(32)
         cell = (part * np.uint64(p.n2) + sub).astype(np.int64)
         sums = np.zeros(p.n1 * p.n2, np.uint64)
@@ -119,8 +125,8 @@ class Signer:
         total = (sums.reshape(p.n1, p.n2)[:, :, None] * choices[None]).sum(axis=1, dtype=np.uint64).ravel()
         out = A.mix64(total + tag)
         filled = (counts @ choices.astype(np.int64)).ravel() > 0
-        unsafe = ((counts > 0).sum(axis=1) <= p.k2).sum()
-        return out if unsafe > p.margin else out[filled]
+        spare = p.margin - int(((counts > 0).sum(axis=1) <= p.k2).sum())
+        return (out if spare < 0 else out[filled]), max(spare, 0)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -145,57 +151,72 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _signed(docs: DataFrame, percent: int) -> DataFrame:
-    """docs(id, text) -> id, n, k1, k2 (the set's hash), sigs (null if the task has signed an equal set)."""
+def _hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    both = np.array([A.mix64(s).sum(dtype=np.uint64), A.mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64)], np.uint64)
+    return tuple(both.view(np.int64).tolist())
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> id, n (set size), k1, k2 (the set's hash)."""
 
     def run(batches):
         import pyarrow as pa
 
-        signer, seen = Signer(percent), set()
         for b in batches:
             sets = shingle_sets(A.as_bytes(b.column(1)))
-            n = np.array([len(s) for s in sets], np.int64)
-            k1 = np.array([int(A.mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            k2 = np.array([int(A.mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            sigs = []
-            for i, s, key in zip(b.column(0).to_pylist(), sets, zip(k1.tolist(), k2.tolist(), strict=True), strict=True):
-                if not len(s) or i is None or key in seen:
-                    sigs.append(None)
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(key)
-                sigs.append(signer.signatures(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "sigs"])
+            keys = [_hash(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64())], names=["id", "n", "k1", "k2"])
+
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
+
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sigs array<long>")
+def _signed(docs: DataFrame, percent: int) -> DataFrame:
+    """docs(id, text) -> sig, id, tag: a row for each signature; a task signs equal sets once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        signer, seen = Signer(percent), set()
+        for b in batches:
+            ids, sets = b.column(0).to_pylist(), shingle_sets(A.as_bytes(b.column(1)))
+            for lo in range(0, len(ids), 500):
+                sigs, owner, tags = [], [], []
+                for i, s in zip(ids[lo : lo + 500], sets[lo : lo + 500], strict=True):
+                    if not len(s) or (key := _hash(s)) in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    for side, (x, spare) in enumerate(signer.signatures(s)):
+                        sigs.append(x.view(np.int64))
+                        owner.append((i, len(x)))
+                        tags.append(2 * spare + side)
+                if sigs:
+                    n = [k for _, k in owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array([i for i, _ in owner], np.int64), n)), pa.array(np.repeat(np.array(tags, np.int32), n))], names=["sig", "id", "tag"])
 
+    return docs.where("id is not null").mapInArrow(run, "sig long, id long, tag int")
 
-def _sets_of(docs: DataFrame):
-    def sets_of(ids: DataFrame) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
 
-            for b in batches:
-                sets = shingle_sets(A.as_bytes(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "items"])
+def _texts_of(docs: DataFrame):
+    """The texts of the asked documents; smaller on their way than their sets."""
+    return lambda ids: docs.join(ids, "id", "left_semi").select("id", F.col("text").alias("items"))
 
-        return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, items array<long>")
 
-    return sets_of
+def elements(column) -> list[np.ndarray]:
+    return shingle_sets(A.as_bytes(column))
 
 
 def joined(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: id, n (set size), component."""
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(_signed(own, percent), codec="uncompressed")
-    sizes = signed.select("id", "n", "k1", "k2")
+    sizes = written(_sized(own))
     held = sizes.where("n > 0 and id is not null")
     first = held.groupBy("n", "k1", "k2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
     equal = held.join(first, ["n", "k1", "k2"]).where("id <> a").select("a", F.col("id").alias("b"))
-    buckets = signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "id")
-    comp = components(bucket_links(buckets, _sets_of(own), percent, extra=equal))
-    return signed.select("id", "n").join(comp, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    comp = components(bucket_links(_signed(own, percent), _texts_of(own), elements, percent, extra=equal))
+    return sizes.select("id", "n").join(comp, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

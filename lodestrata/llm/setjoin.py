@@ -3,10 +3,13 @@
 Candidates come as rows (sig, id): ids with a signature in common may be similar.
 Every bucket is first compared with its smallest id, as equi-joins of single pairs.
 Where union-find over those links leaves the other members of a bucket in one
-component, nothing is left to learn from it. The members of all other buckets are
-compared in blocks of bounded size, each pair of blocks in a task of its own, which
-gives a spanning set of links. So no bucket gathers in one place, no list of all
-pairs is made, and no link that joins two components is missed.
+component, nothing is left to learn from it. All other buckets are gathered into
+families, the components of buckets with a member in common, so that ids which meet in
+many buckets are compared once; a bucket of a family of more than ``FAMILY`` ids is
+taken alone instead. Their members are compared in blocks of bounded size, each pair of
+blocks in a task of its own, which gives a spanning set of links. So no bucket gathers
+in one place, no list of all pairs is made, and no link that joins two components is
+missed.
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ import gc
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._cluster import written
 
 #: Members of a bucket that one task of the block comparison takes from each side.
 BLOCK_ROWS = 256
+#: Ids of a family that is compared as a whole.
+FAMILY = 4096
 
 
 def release(spark) -> None:
@@ -52,10 +57,27 @@ def components(links: DataFrame) -> DataFrame:
         known = state
 
 
-def similar(a: str, b: str, percent: int) -> Column:
-    """Jaccard similarity of two array columns of distinct elements, in whole percent."""
-    inter = F.size(F.array_intersect(F.col(a), F.col(b))).cast("long")
-    return 100 * inter >= percent * (F.size(a) + F.size(b) - inter)
+def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
+    """pairs(a, b, x, y): those whose items x and y have a Jaccard similarity of so many percent at least, as (a, b)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for big in batches:
+            for lo in range(0, big.num_rows, 1000):
+                b = big.slice(lo, 1000)
+                left, right = elements(b.column(2)), elements(b.column(3))
+                inter = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+                union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - inter
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(100 * inter >= percent * union))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def longs(column) -> list[np.ndarray]:
+    """The arrays of an Arrow column of lists of longs."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -99,41 +121,59 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
     return out
 
 
-def bucket_links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, extra: DataFrame | None = None) -> DataFrame:
+def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable, percent: int, extra: DataFrame | None = None) -> DataFrame:
     """buckets(sig, id long) -> links(a, b) whose components are those of all similar pairs within buckets.
 
-    sets_of: from ids(id) to (id, items array<long>, sorted and distinct). extra: links known beforehand.
+    With a column tag, the signatures of one id and tag are a group of which similar ids
+    share more than tag div 2; that many of the group's most frequent ones are left out.
+    fetch: from ids(id) to (id, items); elements: from an Arrow column of items to arrays of
+    distinct elements. extra: links known beforehand.
     """
     spark = buckets.sparkSession
-    from pyspark.sql import Window
-
     w = Window.partitionBy("sig")
-    multi = written(buckets.withColumn("leader", F.min("id").over(w)).withColumn("last", F.max("id").over(w)).where("leader < last").select("sig", "id", "leader"))
+    span = lambda df: df.withColumn("leader", F.min("id").over(w)).withColumn("last", F.max("id").over(w)).where("leader < last").drop("last")
+    if "tag" in buckets.columns:
+        common = written(span(buckets.withColumn("times", F.count(F.lit(1)).over(w))).drop("leader"))
+        release(spark)
+        order = Window.partitionBy("id", "tag").orderBy(F.col("times").desc(), "sig")
+        buckets = common.withColumn("nth", F.row_number().over(order)).where("nth > tag div 2").select("sig", "id")
+    # buckets of the same ids are one: hashes of the ids stand for the bucket from here on
+    grouped = span(buckets.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("h1", F.bit_xor(F.xxhash64("id")).over(w)).withColumn("h2", F.try_sum(F.shiftright(F.xxhash64("id", F.lit(7)), 24)).over(w)))
+    multi = written(grouped.select(F.xxhash64("n", "h1", "h2").alias("sig"), "id", "leader").distinct())
     release(spark)
     star = written(multi.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    sets = written(sets_of(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), codec="lz4")
+    sets = written(fetch(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), codec="lz4")
     release(spark)
-    left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items")) for c in ("a", "b"))
-    known = star.join(left, "a").join(right, "b").where(similar("a_items", "b_items", percent)).select("a", "b")
+    left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    known = verified(star.join(left, "a").join(right, "b"), elements, percent)
     if extra is not None:
         known = known.union(extra.select("a", "b"))
     known = written(known)
     comp = components(known)
 
     placed = multi.where("id <> leader").join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64("id", F.lit(7)).cast("decimal(20,0)")).alias("h2")).where("lo < hi")
-    open_ = open_.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig"))  # buckets of the same members once
-    open_ = written(open_.select("sig", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")))
-    rows = placed.join(open_, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    open_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = written(placed.join(open_.select("sig"), "sig").select("sig", "id", "component"))
+    heads = rest.groupBy("sig").agg(F.min("id").alias("a"))
+    family = components(rest.join(heads, "sig").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
+    large = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= FAMILY)
+    family = written(family.join(large, "family").select("id", "family", "large"))
+    # the head of a family is not among the ids that have links
+    family = family.union(family.groupBy(F.col("family").alias("id")).agg(F.min("family").alias("family"), F.max("large").alias("large")))
+    grouped = rest.join(family, "id").withColumn("g", F.when(F.col("large"), F.struct(F.lit(1).alias("alone"), F.col("sig").alias("key"))).otherwise(F.struct(F.lit(0).alias("alone"), F.col("family").alias("key"))))
+    grouped = written(grouped.select("g.alone", "g.key", "id", "component").distinct())
+    parts = grouped.groupBy("alone", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    rows = grouped.join(parts, ["alone", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component").join(sets, "id")
+    rows = rows.select("alone", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component").join(sets, "id")
 
     def compare(key, table):
         import pyarrow as pa
 
-        data = list(zip(table.column("id").to_pylist(), table.column("component").to_pylist(), (np.asarray(x.values) for x in table.column("items")), strict=True))
+        items = [e for chunk in table.column("items").chunks for e in elements(chunk)]
+        data = list(zip(table.column("id").to_pylist(), table.column("component").to_pylist(), items, strict=True))
         found = block_links(data, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    more = written(rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long"))
+    more = written(rows.groupBy("alone", "key", "i", "j").applyInArrow(compare, "a long, b long"))
     return known.union(more)
