@@ -74,12 +74,6 @@ def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def longs(column) -> list[np.ndarray]:
-    """The arrays of an Arrow column of lists of longs."""
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))
-    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-
-
 def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """rows: (id, component, sorted distinct elements). Links between components, as many as join them."""
     n = len(rows)
