@@ -6,9 +6,11 @@ other characters beyond ASCII), compared with A to Z in lower case. From the who
 corpus: in how many documents a term occurs, in how many of them it stands within
 ``near_words`` terms of an entity of a kind, and near how many different entities. A
 term discloses a kind of entity if the share of its documents in which it stands near
-one, and the pointwise mutual information of the two, reach their thresholds. Wherever
-such a term occurs, it is a span of kind ``term``; ``sanitised`` generalises spans to
-their kind, and removes terms beyond a second threshold.
+one reaches a threshold, and if that share is no chance: the log-likelihood ratio, in
+bits, against a term that falls on places near such entities as often as any place
+does. The evidence grows with the documents, so it can be reached however frequent a
+kind is. Wherever such a term occurs, it is a span of kind ``term``; ``sanitised``
+generalises spans to their kind, and removes terms beyond a second threshold.
 
 Only fixed-size bitmaps of term hashes are broadcast; what passes them is joined
 exactly, so any number of terms may be disclosing.
@@ -54,6 +56,7 @@ class Disclosure:
     #: Different entities near which a term has to stand.
     entities: int = 3
     share: float = 0.6
+    #: Evidence, as a log-likelihood ratio, that a term is a span, and that it is removed.
     bits: float = 5.0
     remove_bits: float = 9.0
 
@@ -100,23 +103,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def nearby_terms(text: str, start: int, end: int, d: Disclosure) -> set[str]:
-    """The nearest whole terms on either side; at most a few hundred characters away."""
+def nearby_terms(text: str, start: int, end: int, d: Disclosure) -> list[tuple[int, str]]:
+    """The nearest whole terms on either side and where they begin; at most a few hundred characters away."""
     reach = 64 * d.near_words
-    left = TERM.findall(text[max(0, start - reach) : start])
+    lo = max(0, start - reach)
+    left = [(lo + m.start(), m[0]) for m in TERM.finditer(text[lo:start])]
     if start > reach and left and TERM.match(text, start - reach - 1):
         left = left[1:]
-    right = TERM.findall(text[end : end + reach])
+    right = [(end + m.start(), m[0]) for m in TERM.finditer(text[end : end + reach])]
     if end + reach < len(text) and right and TERM.match(text, end + reach):
         right = right[:-1]
-    return {t.translate(ASCII_LOWER) for t in left[-d.near_words :] + right[: d.near_words] if len(t.encode()) >= d.term_bytes}
+    return [(at, t.translate(ASCII_LOWER)) for at, t in left[-d.near_words :] + right[: d.near_words] if len(t.encode()) >= d.term_bytes]
+
+
+def near_rows(text: str, spans: list[tuple[int, int, int]], d: Disclosure) -> list[dict]:
+    """One row a place near an entity; new is 1 where the place was not yet near one of the kind."""
+    out, places = [], set()
+    for s, k, e in spans:
+        entity = text_key(text[s:e])
+        for at, x in nearby_terms(text, s, e, d):
+            out.append({"term": x, "kind": k, "entity": entity, "new": int((k, at) not in places)})
+            places.add((k, at))
+    return out
 
 
 def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long>>"
+BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long,new:int>>"
 
 
 def found(docs: DataFrame, d: Disclosure) -> DataFrame:
@@ -126,7 +141,7 @@ def found(docs: DataFrame, d: Disclosure) -> DataFrame:
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64())]))
+        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("new", pa.int32())]))
         for b in batches:
             keys, counts, base, near = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -135,7 +150,7 @@ def found(docs: DataFrame, d: Disclosure) -> DataFrame:
                 keys.append(text_key(t))
                 counts.append([sum(k == n for _, k, _ in spans) for n in range(4)])
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                near.append([{"term": x, "kind": k, "entity": text_key(t[s:e])} for s, k, e in spans for x in sorted(nearby_terms(t, s, e, d))])
+                near.append(near_rows(t, spans, d))
             c = np.array(counts, np.int64).reshape(-1, 4)
             cols = [b.column(0), pa.array(keys, pa.int64()), *(pa.array(c[:, n]) for n in range(4)), pa.array(base, span), pa.array(near, close)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
@@ -173,6 +188,8 @@ class Matcher:
     def __init__(self, bitmap: np.ndarray, d: Disclosure):
         self.set = np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
         self.least = d.term_bytes
+        #: Terms seen so far, marked or not.
+        self.places = 0
 
     def __call__(self, texts: list[bytes]):
         """Yields (text's number, term, start, end in code points)."""
@@ -185,6 +202,7 @@ class Matcher:
             s, e = edge[0::2], edge[1::2]
             ok = e - s >= self.least
             s, e = s[ok], e[ok]
+            self.places += len(s)
             if not len(s):
                 continue
             hit = np.flatnonzero(self.set[(A.span_hashes(buf, s, e) >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -210,21 +228,33 @@ def disclosing(docs: DataFrame, base: DataFrame, d: Disclosure) -> DataFrame:
 
         match = Matcher(bitmap, d)
         for b in batches:
-            count: dict[str, int] = {}
+            count: dict[str, list[int]] = {}
             last: dict[str, int] = {}
+            before = match.places
             for o, term, _, _ in match(A.as_bytes(b.column(0))):
-                if last.get(term) != o:
-                    last[term] = o
-                    count[term] = count.get(term, 0) + 1
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
-
-    all_docs = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
-    totals = base.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in KINDS[:4]]).first()
-    of_kind = F.element_at(F.array(*[F.lit(float(totals[k])) for k in KINDS[:4]]), F.col("kind") + 1)
-    bits = F.log2(F.col("near") * float(totals["all"]) / (F.col("docs") * of_kind))
-    told = asked.join(all_docs, "term").where((F.col("near") >= d.share * F.col("docs")) & (bits >= d.bits))
-    return written(told.groupBy("term").agg(F.max(bits).alias("bits")))
+                c = count.setdefault(term, [0, 0])
+                c[0] += last.get(term) != o
+                c[1] += 1
+                last[term] = o
+            rows = [(None, 0, match.places - before), *((t, n, m) for t, (n, m) in count.items())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "n", "m"])
+
+    # how often each asked term occurs; the row without a term has the occurrences of all terms
+    occurring = written(docs.select("text").mapInArrow(run, "term string, n long, m long").groupBy("term").agg(F.sum("n").alias("docs"), F.sum("m").alias("times")))
+    every = occurring.where("term is null").select("times").first()
+    places = float(every["times"]) if every else 0.0
+    of_kind = seen.groupBy("kind").agg(F.sum("new").alias("places"))  # at most four rows
+    told = asked.join(F.broadcast(of_kind), "kind").join(occurring.where("term is not null"), "term").where(F.col("near") >= d.share * F.col("docs"))
+    told = told.withColumn("bits", evidence(F.col("near"), F.col("docs"), F.col("times"), F.col("places") / max(places, 1.0))).where(F.col("bits") >= d.bits)
+    return written(told.groupBy("term").agg(F.max("bits").alias("bits")))
+
+
+def evidence(near, docs, times, place):
+    """Bits of a log-likelihood ratio: near of docs documents, against the chance that one of the term's occurrences in a document is among the share place of all places; none below chance."""
+    chance = F.least(1 - F.pow(1 - F.least(place, F.lit(1.0)), times / docs), F.lit(1 - 1e-9))
+    share = F.least(near / docs, F.lit(1.0))
+    rest = F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - chance))).otherwise(0.0)
+    return F.when(share > chance, docs * (share * F.log2(share / chance) + rest)).otherwise(0.0)
 
 
 def spans(docs: DataFrame, id: str = "doc_id", text: str = "text", d: Disclosure = Disclosure()) -> DataFrame:

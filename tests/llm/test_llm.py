@@ -295,6 +295,20 @@ def test_pii(spark, docs, none):
     assert P.spans(docs).count() == len(ROWS) and P.spans(none).count() == 0
 
 
+def test_pii_terms_of_a_frequent_kind(spark):
+    import random
+
+    from lodestrata.llm import pii as P
+
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "ren", "tu"]) for _ in range(3)) for _ in range(n))
+    # 30 % of the documents hold an address, 12 of them beside the name
+    rows = [(i, f"{filler(30)} {'Wolfgang' if i < 12 else filler(1)} w{i}@example.com {filler(30)}") for i in range(120)] + [(200 + i, filler(60)) for i in range(280)]
+    x = spark.createDataFrame([*rows, (900, f"{filler(20)} Wolfgang {filler(20)}")], "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in (r.terms or [])] for r in P.spans(x).collect()}
+    assert got[900] == [4] and not any(got[200 + i] for i in range(280))
+
+
 def test_language(spark, docs, none):
     import random
 
