@@ -4,11 +4,11 @@ Base spans are e-mail addresses, IP addresses, payment cards and telephone numbe
 They are the protected entities. A term is a run of letters (ASCII letters and all
 other characters beyond ASCII), compared with A to Z in lower case. From the whole
 corpus: in how many documents a term occurs, in how many of them it stands within
-``near_words`` terms of an entity of a kind, and near how many different entities. A
-term discloses a kind of entity if the share of its documents in which it stands near
-one reaches a threshold, and if that share is no chance: the log-likelihood ratio, in
-bits, against a term that falls on places near such entities as often as any place
-does. The evidence grows with the documents, so it can be reached however frequent a
+``near_words`` terms of an entity of a kind, and near each single entity. A term
+discloses a kind of entity, or one entity, if the share of its documents in which it
+stands near one reaches a threshold, and if that share is no chance: the log-likelihood
+ratio, in bits, against a term that falls on places near such entities, or near this
+one, as often as any place does. Support is counted in documents, copies among them. The evidence grows with the documents, so it can be reached however frequent a
 kind is. Wherever such a term occurs, it is a span of kind ``term``; ``sanitised``
 generalises spans to their kind, and removes terms beyond a second threshold.
 
@@ -53,8 +53,8 @@ class Disclosure:
     near_words: int = 3
     #: Shorter terms, in UTF-8 bytes, disclose nothing.
     term_bytes: int = 4
-    #: Different entities near which a term has to stand.
-    entities: int = 3
+    #: Documents in which a term has to stand near an entity.
+    documents: int = 3
     share: float = 0.6
     #: Evidence, as a log-likelihood ratio, that a term is a span, and that it is removed.
     bits: float = 5.0
@@ -117,13 +117,14 @@ def nearby_terms(text: str, start: int, end: int, d: Disclosure) -> list[tuple[i
 
 
 def near_rows(text: str, spans: list[tuple[int, int, int]], d: Disclosure) -> list[dict]:
-    """One row a place near an entity; new is 1 where the place was not yet near one of the kind."""
-    out, places = [], set()
+    """One row a place near an entity; new is 1 where the place was not yet near one of the kind, own where it was not yet near this entity."""
+    out, places, own = [], set(), set()
     for s, k, e in spans:
         entity = text_key(text[s:e])
         for at, x in nearby_terms(text, s, e, d):
-            out.append({"term": x, "kind": k, "entity": entity, "new": int((k, at) not in places)})
+            out.append({"term": x, "kind": k, "entity": entity, "new": int((k, at) not in places), "own": int((entity, k, at) not in own)})
             places.add((k, at))
+            own.add((entity, k, at))
     return out
 
 
@@ -131,7 +132,7 @@ def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long,new:int>>"
+BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long,new:int,own:int>>"
 
 
 def found(docs: DataFrame, d: Disclosure) -> DataFrame:
@@ -141,7 +142,7 @@ def found(docs: DataFrame, d: Disclosure) -> DataFrame:
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("new", pa.int32())]))
+        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("new", pa.int32()), ("own", pa.int32())]))
         for b in batches:
             keys, counts, base, near = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -216,11 +217,16 @@ class Matcher:
 
 
 def disclosing(docs: DataFrame, base: DataFrame, d: Disclosure) -> DataFrame:
-    """(term, bits): terms that reach the thresholds for some kind of entity."""
+    """(term, bits): terms that reach the thresholds for some kind of entity or some entity."""
     seen = base.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    docs_near = seen.select("term", "kind", "doc_id", "text_key").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("near"))
-    entities = seen.select("term", "kind", "entity").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") >= d.entities)
-    asked = written(docs_near.join(entities, ["term", "kind"]))
+    once = seen.select("term", "kind", "entity", "doc_id", "text_key").distinct()
+    enough = F.col("near") >= d.documents
+    by_kind = once.select("term", "kind", "doc_id", "text_key").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("near")).where(enough)
+    by_entity = once.groupBy("term", "kind", "entity").agg(F.count(F.lit(1)).alias("near")).where(enough)
+    of_kind = seen.groupBy("kind").agg(F.sum("new").alias("places"))  # at most four rows
+    of_entity = seen.groupBy("kind", "entity").agg(F.sum("own").alias("places"))
+    wanted = ["term", "near", "places"]
+    asked = written(by_kind.join(F.broadcast(of_kind), "kind").select(*wanted).union(by_entity.join(of_entity, ["kind", "entity"]).select(*wanted)))
     bitmap = marks(asked.select("term").distinct())
 
     def run(batches):
@@ -243,8 +249,7 @@ def disclosing(docs: DataFrame, base: DataFrame, d: Disclosure) -> DataFrame:
     occurring = written(docs.select("text").mapInArrow(run, "term string, n long, m long").groupBy("term").agg(F.sum("n").alias("docs"), F.sum("m").alias("times")))
     every = occurring.where("term is null").select("times").first()
     places = float(every["times"]) if every else 0.0
-    of_kind = seen.groupBy("kind").agg(F.sum("new").alias("places"))  # at most four rows
-    told = asked.join(F.broadcast(of_kind), "kind").join(occurring.where("term is not null"), "term").where(F.col("near") >= d.share * F.col("docs"))
+    told = asked.join(occurring.where("term is not null"), "term").where(F.col("near") >= d.share * F.col("docs"))
     told = told.withColumn("bits", evidence(F.col("near"), F.col("docs"), F.col("times"), F.col("places") / max(places, 1.0))).where(F.col("bits") >= d.bits)
     return written(told.groupBy("term").agg(F.max("bits").alias("bits")))
 

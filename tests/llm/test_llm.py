@@ -309,6 +309,19 @@ def test_pii_terms_of_a_frequent_kind(spark):
     assert got[900] == [4] and not any(got[200 + i] for i in range(280))
 
 
+def test_pii_terms_of_a_single_entity(spark):
+    from lodestrata.llm import pii as P
+
+    word = lambda i: "".join("klmnoprstu"[int(c)] for c in f"{i:05d}")
+    rows = [(i, f"{word(3 * i)} {word(3 * i + 1)} Wolfgang at office@example.com {word(3 * i + 2)} and so on at length") for i in range(6)]
+    # every document's address is written between words that stand near many others
+    rows += [(100 + i, f"common words a{i}@example.com common words other things at length {i}") for i in range(200)]
+    x = spark.createDataFrame([*rows, (900, "Wolfgang was here")], "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in (r.terms or [])] for r in P.spans(x).collect()}
+    assert got[900] == [4] and 4 in got[0]
+    assert "Wolfgang" not in {r.doc_id: r.text for r in P.sanitised(x).collect()}[900]
+
+
 def test_language(spark, docs, none):
     import random
 
