@@ -223,6 +223,29 @@ def test_line_dedup(spark, docs, none):
     assert L.without_repeated_lines(docs, counts=True).count() == len(ROWS)
 
 
+def test_line_dedup_recall():
+    import random
+
+    from lodestrata.llm import line_dedup as L
+
+    rng = random.Random(8)
+    lines, pairs = [], 0
+    while pairs < 6000:
+        n = rng.randint(50, 250)
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        b = list(a)
+        for at in rng.sample(range(n), max(1, round(n / rng.uniform(38, 60)))):
+            b[at] = rng.choice("0123456789")
+        b = "".join(b)
+        p, q = ({x[k : k + 5] for k in range(n - 4)} for x in (a, b))
+        if 80 * len(p | q) <= 100 * len(p & q) <= 85 * len(p | q):
+            lines += [a, b]
+            pairs += 1
+    block = L.Lines([x.encode() for x in lines])
+    sigs = L.band_hashes(*block.shingles(np.arange(len(lines))))
+    assert (sigs[0::2] == sigs[1::2]).any(axis=1).mean() >= 0.9985
+
+
 def test_components(spark):
     import random
 
