@@ -341,7 +341,7 @@ EDGES = """edges AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey
 
 @query(f"WITH {EDGES} SELECT src, count(DISTINCT dst) AS n, CASE WHEN count(DISTINCT dst) >= 20 THEN 0.7 WHEN count(DISTINCT dst) >= 15 THEN 0.55 WHEN count(DISTINCT dst) >= 10 THEN 0.4 ELSE 0.0 END::DOUBLE AS confidence FROM edges WHERE src <> dst GROUP BY src HAVING count(DISTINCT dst) >= 2 AND count(DISTINCT dst) < 11")
 def fan_out(spark, d):
-    return C.fan_out(P.nation_edges(spark, d), 2).where("n < 11")
+    return C.fan_out(P.nation_edges(spark, d), 2)
 
 
 @query(f"""WITH RECURSIVE {EDGES.replace(">= 200", ">= 170")}, r(src, dst) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src AND e.src <> e.dst), m AS (SELECT a.src, least(min(a.dst), a.src) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)

@@ -161,6 +161,18 @@ def test_stream_of_new_signals(spark, tmp_path):
     assert [r.signal_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["b"]
 
 
+def test_fan_out_keeps_the_strongest(spark):
+    from pathlib import Path
+
+    from lodestrata import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("no test data")
+    got = {(r.n, round(r.confidence, 6)) for r in Q.QUERIES["fan_out"](spark, sf).collect()}
+    assert {(11, 0.4375), (14, 0.55), (16, 0.5875)} <= got
+
+
 def test_queries_match_sql(spark):
     """Every catalogued query has a callable; those with SQL agree with DuckDB on the smallest tables."""
     import glob
