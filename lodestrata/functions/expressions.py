@@ -64,9 +64,11 @@ def report_module(path: Column, depth: int = 2) -> Column:
 
 
 def contributor_label(n: Column) -> Column:
-    """0 is Contributor A, 25 Z, 26 AA."""
-    one = F.char(65 + n % 26)
-    return F.concat(F.lit("Contributor "), F.when(n < 26, one).otherwise(F.concat(F.char(64 + F.floor(n / 26)), one)))
+    """0 is Contributor A, 25 Z, 26 AA, 702 AAA; as many letters as needed."""
+    step = lambda acc, _: F.when(acc["n"] < 0, acc).otherwise(F.struct((F.floor(acc["n"] / 26) - 1).alias("n"), F.concat(F.char(65 + acc["n"] % 26), acc["letters"]).alias("letters")))
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("letters"))
+    # 14 letters label any number of 64 bits
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: F.concat(F.lit("Contributor "), acc["letters"]))
 
 
 def normal_route(route: Column) -> Column:

@@ -220,7 +220,7 @@ def review_concentration(spark, d):
 def anonymise_authors(spark, d):
     from pyspark.sql import Window
 
-    u = P.table(spark, d, "events").select("user_id").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("user_id")) - 1).where("n < 700")
+    u = P.table(spark, d, "events").select("user_id").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("user_id")) - 1)
     return u.select("user_id", X.contributor_label(F.col("n")).alias("label"))
 
 

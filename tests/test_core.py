@@ -161,6 +161,16 @@ def test_stream_of_new_signals(spark, tmp_path):
     assert [r.signal_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["b"]
 
 
+def test_every_author_gets_a_label(spark, tmp_path):
+    from lodestrata import queries as Q
+
+    spark.range(19_000).select(F.col("id").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.label for r in Q.QUERIES["anonymise_authors"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(set(got.values())) == 19_000
+    want = {0: "A", 25: "Z", 26: "AA", 699: "ZX", 701: "ZZ", 702: "AAA", 18_277: "ZZZ", 18_278: "AAAA"}
+    assert {k: got[k] for k in want} == {k: f"Contributor {v}" for k, v in want.items()}
+
+
 def test_fan_out_keeps_the_strongest(spark):
     from pathlib import Path
 
