@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: of the
-byte strings inside words, each takes those whose presence in texts of its class is
-least likely to be chance (a likelihood ratio), as the words that hold them. A text is
-cut into windows of a few words. Each is compressed with either dictionary, and the
-difference of the two lengths is looked up in a table of log likelihood ratios, which
-is calibrated on labelled texts that the dictionaries were not trained on. A logistic
-function, fitted on the same texts, turns the windows' sum into a score of 0 to 1.
+Zstandard dictionaries are made of words and of pairs of adjacent words, each of toxic
+and of ordinary text: all whose presence in texts of their class is no chance (a
+likelihood ratio), words by the byte strings inside them. They are raw contents, not
+the outcome of zstandard's own training. A text is cut into windows of
+``window_words``; a window of ``phrase_words`` is laid around each telling pair. Each is
+compressed with either dictionary, and the difference of the two lengths is looked up
+in a table of log likelihood ratios, which is calibrated on labelled texts that the
+dictionaries were not made of. A logistic function, fitted on the same texts, turns the
+sums into a score of 0 to 1.
 
 Labelled texts are learned from whole, at most ``Settings.texts`` of each class,
 chosen by a hash of their id; scores are those of whole texts.
@@ -45,8 +47,9 @@ class Settings:
     #: Bytes of a window; a longer one is cut.
     window_bytes: int = 256
     gram: int = 5
-    grams: int = 80
-    dictionary_bytes: int = 6000
+    #: Likelihood ratio, in nats, from which a byte string or a pair of words is no chance.
+    gain: float = 6.0
+    phrase_words: int = 4
     level: int = 19
     clip: int = 12
     threshold: float = 0.7
@@ -73,41 +76,57 @@ def _grams(word: bytes, n: int) -> set[bytes]:
     return {x[i : i + n] for i in range(len(x) - n + 1)}
 
 
-def train_dictionary(own: list[bytes], other: list[bytes], s: Settings) -> bytes:
-    """Words of the class ``own``, the most telling last, where matches are cheapest."""
-    sets = [[set(words(t)) for t in texts] for texts in (own, other)]
-    seen = [Counter(g for ws in part for g in set().union(*(_grams(w, s.gram) for w in ws))) if part else Counter() for part in sets]
-    na, nb = len(own) + 1, len(other) + 1
+def _telling(seen: list[Counter], na: int, nb: int, s: Settings) -> dict[bytes, float]:
+    """What is in more texts of the first class than chance allows, whatever its number and however few the texts."""
     gain = {}
     for g, n in seen[0].items():
         m = seen[1].get(g, 0)
         p, q = n / na, (m + 0.5) / nb
-        if n >= max(4, 0.01 * na) and p >= 3 * q:
+        if n >= 4 and p >= 3 * q:
             r = (n + m) / (na + nb)
-            gain[g] = n * math.log(p / r) + m * math.log(q / r)
-    best = dict(sorted(gain.items(), key=lambda x: (-x[1], x[0]))[: s.grams])
+            x = n * math.log(p / r) + m * math.log(q / r)
+            if x >= s.gain:
+                gain[g] = x
+    return gain
+
+
+def _packed(chosen: list[tuple[float, int, bytes]]) -> bytes:
+    chosen.sort(key=lambda x: (-x[0], -x[1], x[2]))
+    return b"".join(b" " + x + b" " for _, _, x in reversed(chosen)).rjust(16, b"\0")
+
+
+def train_dictionary(own: list[bytes], other: list[bytes], s: Settings) -> bytes:
+    """Words of the class ``own``, the most telling last, where matches are cheapest."""
+    sets = [[set(words(t)) for t in texts] for texts in (own, other)]
+    seen = [Counter(g for ws in part for g in set().union(*(_grams(w, s.gram) for w in ws))) if part else Counter() for part in sets]
+    na, nb = len(own) + 1, len(other) + 1
+    best = _telling(seen, na, nb, s)
     count = [Counter(w for ws in part for w in ws) for part in sets]
     chosen = []
     for w, n in count[0].items():
         hits = [best[g] for g in _grams(w, s.gram) if g in best]
         if hits and n / na >= 3 * count[1].get(w, 0) / nb:
             chosen.append((max(hits), n, w))
-    chosen.sort(key=lambda x: (-x[0], -x[1], x[2]))
-    out, size = [], 0
-    for _, _, w in chosen:
-        if size + len(w) + 2 > s.dictionary_bytes:
-            break
-        out.append(b" " + w + b" ")
-        size += len(w) + 2
-    return b"".join(reversed(out)).rjust(16, b"\0")
+    return _packed(chosen)
+
+
+def pairs(w: list[bytes]) -> list[bytes]:
+    return [x + b" " + y for x, y in zip(w, w[1:], strict=False)]
+
+
+def train_phrases(own: list[bytes], other: list[bytes], s: Settings) -> tuple[bytes, frozenset[bytes]]:
+    """Pairs of adjacent words of the class ``own``, as a dictionary and as a set."""
+    seen = [Counter(x for t in texts for x in set(pairs(words(t)))) for texts in (own, other)]
+    best = _telling(seen, len(own) + 1, len(other) + 1, s)
+    return _packed([(x, seen[0][g], g) for g, x in best.items()]), frozenset(best)
 
 
 class Differences:
-    """Classes of windows by their length under the ordinary dictionary less that under the toxic one, alone and as a share of the window."""
+    """Classes of windows by their length under the ordinary dictionary less that under the toxic one, alone and as a share of the window; those of words, then those of phrases."""
 
     SHARES = 5
 
-    def __init__(self, toxic: bytes, ordinary: bytes, s: Settings):
+    def __init__(self, toxic: bytes, ordinary: bytes, s: Settings, phrases: tuple[bytes, bytes, frozenset[bytes]] = (bytes(16), bytes(16), frozenset())):
         import zstandard as Z
 
         self.s = s
@@ -116,14 +135,16 @@ class Differences:
         self.known: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
         p = Z.ZstdCompressionParameters.from_level(s.level, write_content_size=0, write_dict_id=0, format=Z.FORMAT_ZSTD1_MAGICLESS)
-        self.compress = []
-        for d in (ordinary, toxic):
+        self.telling = phrases[2]
+        every = []
+        for d in (ordinary, toxic, phrases[1], phrases[0]):
             x = Z.ZstdCompressionDict(d + ANCHOR, dict_type=Z.DICT_TYPE_RAWCONTENT)
             x.precompute_compress(level=s.level)
-            self.compress.append(Z.ZstdCompressor(dict_data=x, compression_params=p).compress)
+            every.append(Z.ZstdCompressor(dict_data=x, compression_params=p).compress)
+        self.compress, self.of_phrases = every[:2], every[2:]
 
-    def of_window(self, w: bytes) -> int:
-        a, b = (len(f(ANCHOR + w + TAIL)) for f in self.compress)
+    def of_window(self, w: bytes, compress: list | None = None) -> int:
+        a, b = (len(f(ANCHOR + w + TAIL)) for f in compress or self.compress)
         share = min(self.SHARES - 1, max(0, (a - b) * self.SHARES // len(w)))
         return (max(-self.s.clip, min(self.s.clip, a - b)) + self.s.clip) * self.SHARES + share
 
@@ -141,7 +162,20 @@ class Differences:
                     self.known = known = {}
                 known[w] = c
             out.append(c)
-        return np.bincount(np.array(out, np.int64), minlength=self.bins)
+        return np.concatenate((np.bincount(np.array(out, np.int64), minlength=self.bins), self.phrases(text)))
+
+    def phrases(self, text: bytes) -> np.ndarray:
+        """As of the words; places without a telling pair count as windows without a difference."""
+        counts = np.zeros(self.bins, np.int64)
+        if not self.telling:
+            return counts
+        w, n = words(text), self.s.phrase_words
+        hits = [i for i, x in enumerate(pairs(w)) if x in self.telling]
+        for i in hits:
+            lo = max(0, i - (n - 2) // 2)
+            counts[self.of_window((b" " + b" ".join(w[lo : lo + n]) + b" ")[: self.s.window_bytes], self.of_phrases)] += 1
+        counts[self.s.clip * self.SHARES] += max(0, len(w) - 1 - len(hits))
+        return counts
 
 
 @dataclass
@@ -150,10 +184,11 @@ class Model:
     toxic: bytes
     ordinary: bytes
     table: np.ndarray
-    weights: np.ndarray  # of 1, the sum, the sum over the root of the windows
+    weights: np.ndarray  # of 1, and for words and phrases the sum and the sum over the root of the windows
+    phrases: tuple[bytes, bytes, frozenset[bytes]]
 
     def scorer(self):
-        diff = Differences(self.toxic, self.ordinary, self.settings)
+        diff = Differences(self.toxic, self.ordinary, self.settings, self.phrases)
 
         def score(text: bytes) -> float:
             x = _features(diff(text), self.table)
@@ -163,8 +198,11 @@ class Model:
 
 
 def _features(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    total = float(counts @ table)
-    return np.array([1.0, max(-20.0, min(60.0, total)), max(-5.0, min(15.0, total / math.sqrt(counts.sum() + 1)))])
+    out = [1.0]
+    for c, t in zip(np.split(counts, 2), np.split(table, 2), strict=True):
+        total = float(c @ t)
+        out += [max(-20.0, min(60.0, total)), max(-5.0, min(15.0, total / math.sqrt(c.sum() + 1)))]
+    return np.array(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -184,15 +222,18 @@ def fit(rows: list[tuple[bytes, int, int]], weight: dict[int, float], s: Setting
     """rows: (text, label, fold 0 or 1); fold 0 trains the dictionaries, fold 1 calibrates. weight: labelled texts that one learned text of the class stands for."""
     part = {(y, f): [t for t, a, b in rows if a == y and b == f] for y in (0, 1) for f in (0, 1)}
     toxic, ordinary = train_dictionary(part[1, 0], part[0, 0], s), train_dictionary(part[0, 0], part[1, 0], s)
-    diff = Differences(toxic, ordinary, s)
+    (a, of_toxic), (b, of_ordinary) = train_phrases(part[1, 0], part[0, 0], s), train_phrases(part[0, 0], part[1, 0], s)
+    phrases = (a, b, of_toxic | of_ordinary)
+    diff = Differences(toxic, ordinary, s, phrases)
     held = [(diff(t), y) for y in (0, 1) for t in part[y, 1]]
     share = weight.get(1, 0.0) * len(part[1, 1]) + 0.5, weight.get(0, 0.0) * len(part[0, 1]) + 0.5
     if not part[1, 1] or not part[0, 1]:
-        return Model(s, toxic, ordinary, np.zeros(diff.bins), np.array([math.log(share[0] / share[1]), 0.0, 0.0]))
-    table = _ratios(*(sum((c for c, a in held if a == y), np.zeros(diff.bins)) for y in (0, 1)))
+        return Model(s, toxic, ordinary, np.zeros(2 * diff.bins), np.array([math.log(share[0] / share[1]), 0.0, 0.0, 0.0, 0.0]), phrases)
+    sums = [sum((c for c, a in held if a == y), np.zeros(2 * diff.bins)) for y in (0, 1)]
+    table = np.concatenate([_ratios(*x) for x in zip(*(np.split(t, 2) for t in sums), strict=True)])
     x = np.array([_features(c, table) for c, _ in held])
     y = np.array([a for _, a in held], float)
-    return Model(s, toxic, ordinary, table, _logistic(x, y, np.array([weight.get(int(a), 1.0) for a in y])))
+    return Model(s, toxic, ordinary, table, _logistic(x, y, np.array([weight.get(int(a), 1.0) for a in y])), phrases)
 
 
 def _ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:

@@ -382,6 +382,32 @@ def test_toxicity(spark, docs, none):
     assert X.scored(docs, y.where("1 = 0")).count() == len(ROWS)
 
 
+def test_toxicity_of_phrases_and_rare_words():
+    import random
+
+    from lodestrata.llm import toxicity as X
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ren", "tu"]) for _ in range(3)) for _ in range(60)]
+    first, second = vocabulary[:2]
+
+    def text(bad):
+        w = [rng.choice(vocabulary) for _ in range(60)]
+        w = [x for k, x in enumerate(w) if not (x == second and k and w[k - 1] == first)]
+        for at in rng.sample(range(1, len(w) - 1), 3) if bad else ():
+            w[at : at + 1] = [first, second]
+        return " ".join(w).encode()
+
+    rows = [(text(i % 2), i % 2, int(i % 5 > 2)) for i in range(600)]
+    score = X.fit(rows, {0: 1.0, 1: 1.0}).scorer()
+    new = [(score(text(i % 2)) >= 0.7, i % 2) for i in range(200)]
+    assert sum(p == y for p, y in new) >= 190
+    # 5 of 1000 toxic texts hold the word, which no cap on frequency may leave out
+    own = [text(0) + (b" abominable" if i < 5 else b"") for i in range(1000)]
+    other = [text(0) for _ in range(6000)]
+    assert b"abominable" in X.train_dictionary(own, other, X.Settings())
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as P
 
