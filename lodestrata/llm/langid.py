@@ -9,7 +9,8 @@ leaves most of them zero; a temperature, fitted on labelled documents that the w
 were not learned from, calibrates the probabilities.
 
 The weights are fitted on a bounded sample: about ``Settings.texts`` labelled documents
-of each language, chosen by a hash of their id; whole texts always.
+of each language, fewer where there are very many languages, chosen by a hash of their
+id; whole texts always. Every language is learned.
 
 Defined results: texts that are null or have no letters are ``und`` with score 0; null
 languages are not learned from; if nothing can be learned, every text is ``und``. An id
@@ -33,9 +34,11 @@ UND = "und"
 @dataclass(frozen=True)
 class Settings:
     features: int = 1 << 14
-    #: About so many labelled documents of each language are learned from, of the most frequent languages.
+    #: About so many labelled documents of each language are learned from.
     texts: int = 1500
+    #: With more languages, proportionally fewer of each, but not less than ``least``.
     languages: int = 256
+    least: int = 32
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -189,13 +192,15 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:
     known = docs.where("lang is not null").where(~held_out("doc_id"))
     df, total = frequencies(known, s)
     idf = np.log((1 + total) / (1 + df)) + 1
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "lang").limit(s.languages).collect()
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
+    n = counts.count()
+    if not n:
         return Model(s, [], idf, np.zeros((s.features, 0)), np.zeros(0))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], s.texts / r["m"])])
+    texts = max(s.least, s.texts * min(1.0, s.languages / n))
     point = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_003)) / 1_000_003
     fold = F.when(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0, 1).otherwise(0)
-    some = known.select("doc_id", "text", "lang", fold.alias("fold"), point.alias("point")).where(F.col("point") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    # a row a language is broadcast
+    some = known.select("doc_id", "text", "lang", fold.alias("fold"), point.alias("point")).join(F.broadcast(counts), "lang").where(F.col("point") < texts / F.col("m"))
 
     def run(batches):
         import pyarrow as pa

@@ -362,6 +362,17 @@ def test_language(spark, docs, none):
     assert L.identified(docs).count() == len(ROWS) and L.identified(none).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    from lodestrata.llm import langid as L
+
+    rows = [(i, f"{'abcde'[i % 5] * 3} words of {'vwxyz'[i % 5] * 4}", f"l{i % 5}") for i in range(200)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = L.Settings(features=1 << 10, languages=2)
+    assert L.learn(x, s).languages == [f"l{k}" for k in range(5)]
+    held = [(r.lang_pred, f"l{r.doc_id % 5}") for r in L.identified(x, s=s).collect() if r.held_out]
+    assert sum(p == g for p, g in held) >= 0.9 * len(held)
+
+
 def test_toxicity(spark, docs, none):
     import random
 
