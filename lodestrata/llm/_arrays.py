@@ -44,11 +44,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: list[bytes], block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, starts): documents joined by line feeds; starts has one more entry than documents."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > BLOCK:
+        if i > first and size + len(t) > block:
             yield _block(texts, first, i)
             first, size = i, 0
         size += len(t) + 1

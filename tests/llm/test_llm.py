@@ -411,7 +411,7 @@ def test_toxicity_of_phrases_and_rare_words():
 
     rows = [(text(i % 2), i % 2, int(i % 5 > 2)) for i in range(600)]
     score = X.fit(rows, {0: 1.0, 1: 1.0}).scorer()
-    new = [(score(text(i % 2)) >= 0.7, i % 2) for i in range(200)]
+    new = list(zip((p >= 0.7 for p in score([text(i % 2) for i in range(200)])), (i % 2 for i in range(200)), strict=True))
     assert sum(p == y for p, y in new) >= 190
     # 5 of 1000 toxic texts hold the word, which no cap on frequency may leave out
     own = [text(0) + (b" abominable" if i < 5 else b"") for i in range(1000)]
