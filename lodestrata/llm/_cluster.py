@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, a local one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one of our own, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "file:///tmp/checkpoints"
 
 
@@ -37,7 +39,22 @@ def written(df: DataFrame, *, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lodestrata_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._lodestrata_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle at every size, for sides that grow with the data."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def partitions(spark: SparkSession) -> int:

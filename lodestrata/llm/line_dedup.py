@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _arrays as A
-from ._cluster import fresh_name, written
-from .setjoin import bucket_links, components, release
+from ._cluster import discard, fresh_name, met, written
+from .setjoin import bucket_links, components
 
 SHINGLE = 5
 PERCENT = 80
@@ -169,7 +169,7 @@ def _texts_of(docs: DataFrame, lines: DataFrame):
     """The texts of the asked lines, taken from the first document that holds each."""
 
     def fetch(ids: DataFrame) -> DataFrame:
-        place = lines.select("node", "id", "line").join(ids.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "line")).alias("p"))
+        place = met(lines.select("node", "id", "line"), ids.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "line")).alias("p"))
         asked = place.groupBy(F.col("p.id").alias("id")).agg(F.collect_list(F.struct("p.line", "node")).alias("asked"))  # at most a document's own lines
 
         def run(batches):
@@ -189,7 +189,7 @@ def _texts_of(docs: DataFrame, lines: DataFrame):
                     ok = np.flatnonzero(block.hashes().view(np.int64) == node)  # rows that share an id may differ
                     yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([found[lo + k] for k in block.owner[ok]], pa.binary())], names=["id", "items"])
 
-        return docs.where("id is not null").join(asked, "id").select("text", "asked").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+        return met(docs.where("id is not null"), asked, "id").select("text", "asked").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
     return fetch
 
@@ -206,15 +206,14 @@ def elements(column) -> list[np.ndarray]:
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, line) of the lines that go; lines are numbered from 0."""
-    own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     lines = written(_signed(own), codec="lz4")
     buckets = lines.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("node").alias("id"))
     links = bucket_links(buckets, _texts_of(own, lines), elements, percent)
     comp = components(links).withColumnRenamed("id", "node")
-    release(docs.sparkSession)
     placed = lines.select("id", "line", "node").join(comp, "node", "left").select("id", "line", F.coalesce("component", "node").alias("c"))
     first = placed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")
-    return placed.join(first.select("c", "first"), "c").where("struct(id, line) <> first").select("id", "line")
+    return met(placed, first.select("c", "first"), "c").where("struct(id, line) <> first").select("id", "line")
 
 
 def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, *, counts: bool = False) -> DataFrame:
@@ -222,8 +221,7 @@ def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "tex
     gone = repeated_lines(docs, id, text, percent)
     key, drop = fresh_name(docs, "__id"), fresh_name(docs, "__drop")
     per_doc = written(gone.groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(drop)))
-    release(docs.sparkSession)
-    rows = docs.join(per_doc, F.col(id) == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], drop)
+    rows = met(docs, per_doc, F.col(f"`{id}`") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], drop)
     emptied = fresh_name(docs, "__emptied")
     extra = [T.StructField(emptied, T.BooleanType())] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped") if counts]
     schema = T.StructType([*docs.schema.fields, *extra])

@@ -7,21 +7,26 @@ component, nothing is left to learn from it. All other buckets are gathered into
 families, the components of buckets with a member in common, so that ids which meet in
 many buckets are compared once; a bucket of a family of more than ``FAMILY`` ids is
 taken alone instead. Their members are compared in blocks of bounded size, each pair of
-blocks in a task of its own, which gives a spanning set of links. So no bucket gathers
-in one place, no list of all pairs is made, and no link that joins two components is
-missed.
+blocks in a task of its own, which gives a spanning set of links. No list of all pairs
+is made, and no link that joins two components is missed.
+
+A signature's smallest id, number of ids and hashes of them come from a window where it
+is not hot. Hot ones, of more than about one in ``HEAVY`` rows, are found beforehand in
+the rows of one in ``SHARE`` ids; they are fewer than ``HEAVY`` and broadcast to their
+rows, and partial aggregates make them a row a task. What is found hot moves work only,
+no result depends on it. Joins of sides that grow with the data are shuffles at every
+size. Tables that nothing reads any more are deleted at once.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import written
+from ._cluster import discard, met, written
 
 #: Members of a bucket that one task of the block comparison takes from each side.
 BLOCK_ROWS = 256
@@ -29,10 +34,26 @@ BLOCK_ROWS = 256
 FAMILY = 4096
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Signatures of a larger share of all rows than one in so many are hot; they are looked for in the rows of one in SHARE ids.
+HEAVY, SHARE = 2048, 64
+
+
+def met_signatures(rows: DataFrame, **more: Column) -> DataFrame:
+    """rows(sig, id, ...): those whose signature has two ids at least, with n, leader (the smallest id) and more aggregates."""
+    seen = written(rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARE)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = written(seen.where(F.col("n") > max(16.0, total / HEAVY)).select("sig"))
+    discard(seen)
+    every = {"n": F.count(F.lit(1)), "leader": F.min("id"), "last": F.max("id"), **more}
+    w = Window.partitionBy("sig")
+    met = lambda df: df.where("leader < last").drop("last")
+    if hot.isEmpty():
+        discard(hot)
+        return met(rows.select("*", *[c.over(w).alias(n) for n, c in every.items()]))
+    hot = F.broadcast(hot)  # fewer than HEAVY rows
+    cold = rows.join(hot, "sig", "left_anti").select("*", *[c.over(w).alias(n) for n, c in every.items()])
+    groups = rows.join(hot, "sig", "left_semi").groupBy("sig").agg(*[c.alias(n) for n, c in every.items()])
+    return met(cold.unionByName(rows.join(F.broadcast(groups), "sig")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -50,7 +71,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        discard(before)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == known:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -123,23 +145,17 @@ def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], el
     fetch: from ids(id) to (id, items); elements: from an Arrow column of items to arrays of
     distinct elements. extra: links known beforehand.
     """
-    spark = buckets.sparkSession
-    w = Window.partitionBy("sig")
-    span = lambda df: df.withColumn("leader", F.min("id").over(w)).withColumn("last", F.max("id").over(w)).where("leader < last").drop("last")
     if "tag" in buckets.columns:
-        common = written(span(buckets.withColumn("times", F.count(F.lit(1)).over(w))).drop("leader"))
-        release(spark)
-        order = Window.partitionBy("id", "tag").orderBy(F.col("times").desc(), "sig")
-        buckets = common.withColumn("nth", F.row_number().over(order)).where("nth > tag div 2").select("sig", "id")
+        common = met_signatures(buckets)
+        order = Window.partitionBy("id", "tag").orderBy(F.col("n").desc(), "sig")
+        buckets = written(common.withColumn("nth", F.row_number().over(order)).where("nth > tag div 2").select("sig", "id"))
     # buckets of the same ids are one: hashes of the ids stand for the bucket from here on
-    grouped = span(buckets.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("h1", F.bit_xor(F.xxhash64("id")).over(w)).withColumn("h2", F.try_sum(F.shiftright(F.xxhash64("id", F.lit(7)), 24)).over(w)))
+    grouped = met_signatures(buckets, h1=F.bit_xor(F.xxhash64("id")), h2=F.try_sum(F.shiftright(F.xxhash64("id", F.lit(7)), 24)))
     multi = written(grouped.select(F.xxhash64("n", "h1", "h2").alias("sig"), "id", "leader").distinct())
-    release(spark)
     star = written(multi.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     sets = written(fetch(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), codec="lz4")
-    release(spark)
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    known = verified(star.join(left, "a").join(right, "b"), elements, percent)
+    known = verified(met(met(star, left, "a"), right, "b"), elements, percent)
     if extra is not None:
         known = known.union(extra.select("a", "b"))
     known = written(known)
@@ -147,19 +163,20 @@ def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], el
 
     placed = multi.where("id <> leader").join(comp, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = written(placed.join(open_.select("sig"), "sig").select("sig", "id", "component"))
+    rest = written(met(placed, open_.select("sig"), "sig").select("sig", "id", "component"))
+    discard(multi, star)
     heads = rest.groupBy("sig").agg(F.min("id").alias("a"))
     family = components(rest.join(heads, "sig").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "family")
     large = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= FAMILY)
     family = written(family.join(large, "family").select("id", "family", "large"))
     # the head of a family is not among the ids that have links
-    family = family.union(family.groupBy(F.col("family").alias("id")).agg(F.min("family").alias("family"), F.max("large").alias("large")))
-    grouped = rest.join(family, "id").withColumn("g", F.when(F.col("large"), F.struct(F.lit(1).alias("alone"), F.col("sig").alias("key"))).otherwise(F.struct(F.lit(0).alias("alone"), F.col("family").alias("key"))))
+    every = family.union(family.groupBy(F.col("family").alias("id")).agg(F.min("family").alias("family"), F.max("large").alias("large")))
+    grouped = rest.join(every, "id").withColumn("g", F.when(F.col("large"), F.struct(F.lit(1).alias("alone"), F.col("sig").alias("key"))).otherwise(F.struct(F.lit(0).alias("alone"), F.col("family").alias("key"))))
     grouped = written(grouped.select("g.alone", "g.key", "id", "component").distinct())
     parts = grouped.groupBy("alone", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
     rows = grouped.join(parts, ["alone", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("alone", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component").join(sets, "id")
+    rows = met(rows.select("alone", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component"), sets, "id")
 
     def compare(key, table):
         import pyarrow as pa
@@ -170,4 +187,5 @@ def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], el
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     more = written(rows.groupBy("alone", "key", "i", "j").applyInArrow(compare, "a long, b long"))
+    discard(rest, family, grouped, sets)
     return known.union(more)

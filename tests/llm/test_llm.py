@@ -188,17 +188,20 @@ def test_signatures_never_miss():
     from lodestrata.llm.ngram_join import Signer
 
     rng, s = np.random.default_rng(7), Signer()
-    flat = lambda x: np.concatenate([q for q, _ in s.signatures(x)])
-    for size in (1, 2, 4, 5, 9, 13, 17, 22, 34, 60, 130, 400):
-        for _ in range(40):
+    met = 0
+    for size in (1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 17, 18, 22, 28, 34, 46, 60, 73, 130, 400, 1500):
+        for _ in range(60):
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
             d = int(rng.integers(0, size // 4 + 1))
             cut = int(rng.integers(0, d + 1))
             b = np.unique(np.concatenate((a[cut:], rng.integers(0, 2**64, d - cut, dtype=np.uint64))))
             n = len(np.intersect1d(a, b))
-            if n and 100 * n >= 80 * (len(a) + len(b) - n):
-                shared = [len(np.intersect1d(x, y)) - 1 - p for (x, p) in s.signatures(a) for (y, _) in s.signatures(b)]
-                assert len(np.intersect1d(flat(a), flat(b))) and max(shared) >= 0
+            if n and 100 * n >= 80 * (len(a) + len(b) - n) and len(np.setxor1d(a, b)):
+                # within some group either set may leave out its spare signatures; equal sets need none
+                left = [len(np.intersect1d(x, y)) - 1 - max(p, q) for x, p in s.signatures(a) for y, q in s.signatures(b)]
+                assert max(left) >= 0, size
+                met += 1
+    assert met > 500
 
 
 def test_block_links_join_components():
