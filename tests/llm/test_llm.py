@@ -61,8 +61,7 @@ def test_packing(spark, docs, none):
     from lodestrata.llm import packing as K
 
     t = Tokenizer.from_file(K.default_tokenizer())
-    t.encode_special_tokens = True
-    odd = ["<|endoftext|> it's   we'll\n\n  x", "tab\t\tq ", "a b 12 345!!", "日本語 ñ", "'s 'S  end  "]
+    odd = ["<|endoftext|> it's   we'll\n\n  x", "a<|endoftext|><|endoftext|> b <|endof text|>", "<|endoftext|>", "tab\t\tq ", "a b 12 345!!", "日本語 ñ", "'s 'S  end  "]
     fast = K.encoder(K.default_tokenizer())
     assert all(fast(x) == t.encode(x, add_special_tokens=False).ids for x in odd)
     want = Counter()
