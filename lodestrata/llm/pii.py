@@ -8,8 +8,9 @@ corpus: in how many documents a term occurs, in how many of them it stands withi
 discloses a kind of entity, or one entity, if the share of its documents in which it
 stands near one reaches a threshold, and if that share is no chance: the log-likelihood
 ratio, in bits, against a term that falls on places near such entities, or near this
-one, as often as any place does. Support is counted in documents, copies among them. The evidence grows with the documents, so it can be reached however frequent a
-kind is. Wherever such a term occurs, it is a span of kind ``term``; ``sanitised``
+one, as often as any place does. Support is counted in rows, copies and repeated rows
+among them, everywhere alike. The evidence grows with the documents, so it can be
+reached however frequent a kind is. Wherever such a term occurs, it is a span of kind ``term``; ``sanitised``
 generalises spans to their kind, and removes terms beyond a second threshold.
 
 Only fixed-size bitmaps of term hashes are broadcast; what passes them is joined
@@ -37,7 +38,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins where a run of digits does, which finds the same as without that condition, in linear time.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile("[A-Za-z\u0080-\U0010ffff]+")
@@ -117,14 +119,18 @@ def nearby_terms(text: str, start: int, end: int, d: Disclosure) -> list[tuple[i
 
 
 def near_rows(text: str, spans: list[tuple[int, int, int]], d: Disclosure) -> list[dict]:
-    """One row a place near an entity; new is 1 where the place was not yet near one of the kind, own where it was not yet near this entity."""
-    out, places, own = [], set(), set()
+    """One row a place near an entity. 1 or 0: new and own, whether the place was not yet near the kind or this entity; of_kind and of_entity, whether the term was not."""
+    out, seen = [], set()
+
+    def first(*what) -> int:
+        fresh = what not in seen
+        seen.add(what)
+        return int(fresh)
+
     for s, k, e in spans:
         entity = text_key(text[s:e])
         for at, x in nearby_terms(text, s, e, d):
-            out.append({"term": x, "kind": k, "entity": entity, "new": int((k, at) not in places), "own": int((entity, k, at) not in own)})
-            places.add((k, at))
-            own.add((entity, k, at))
+            out.append({"term": x, "kind": k, "entity": entity, "new": first("new", k, at), "own": first("own", k, entity, at), "of_kind": first("kind", x, k), "of_entity": first("entity", x, k, entity)})
     return out
 
 
@@ -132,7 +138,7 @@ def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long,new:int,own:int>>"
+BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,kind:int,entity:long,new:int,own:int,of_kind:int,of_entity:int>>"
 
 
 def found(docs: DataFrame, d: Disclosure) -> DataFrame:
@@ -142,7 +148,7 @@ def found(docs: DataFrame, d: Disclosure) -> DataFrame:
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), ("new", pa.int32()), ("own", pa.int32())]))
+        close = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("entity", pa.int64()), *((n, pa.int32()) for n in ("new", "own", "of_kind", "of_entity"))]))
         for b in batches:
             keys, counts, base, near = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -218,11 +224,10 @@ class Matcher:
 
 def disclosing(docs: DataFrame, base: DataFrame, d: Disclosure) -> DataFrame:
     """(term, bits): terms that reach the thresholds for some kind of entity or some entity."""
-    seen = base.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    once = seen.select("term", "kind", "entity", "doc_id", "text_key").distinct()
+    seen = base.select(F.explode("near").alias("x")).select("x.*")
     enough = F.col("near") >= d.documents
-    by_kind = once.select("term", "kind", "doc_id", "text_key").distinct().groupBy("term", "kind").agg(F.count(F.lit(1)).alias("near")).where(enough)
-    by_entity = once.groupBy("term", "kind", "entity").agg(F.count(F.lit(1)).alias("near")).where(enough)
+    by_kind = seen.groupBy("term", "kind").agg(F.sum("of_kind").alias("near")).where(enough)
+    by_entity = seen.groupBy("term", "kind", "entity").agg(F.sum("of_entity").alias("near")).where(enough)
     of_kind = seen.groupBy("kind").agg(F.sum("new").alias("places"))  # at most four rows
     of_entity = seen.groupBy("kind", "entity").agg(F.sum("own").alias("places"))
     wanted = ["term", "near", "places"]
@@ -264,7 +269,7 @@ def evidence(near, docs, times, place):
 
 def spans(docs: DataFrame, id: str = "doc_id", text: str = "text", d: Disclosure = Disclosure()) -> DataFrame:
     """One row a document: doc_id, text_key, counts of base kinds, base, terms (arrays of start, kind, end)."""
-    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     base = written(found(own, d))
     terms = disclosing(own, base, d)
     bitmap = marks(terms)
@@ -302,8 +307,8 @@ def sanitised(docs: DataFrame, id: str = "doc_id", text: str = "text", d: Disclo
     """The documents with their columns; spans give way to their kind in brackets, terms beyond remove_bits to nothing."""
     every = F.transform(F.coalesce("terms", F.expr("array()")), lambda x: F.struct(x["start"].alias("start"), F.when(x["bits"] >= d.remove_bits, 5).otherwise(x["kind"]).alias("kind"), x["end"].alias("end")))
     cut = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat(F.col("base"), every))
-    marked = spans(docs, id, text, d).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), cut.alias("__cut")).where(F.size("__cut") > 0).dropDuplicates(["__d", "__k"])
-    key = fresh_name(docs, "__text_key")
+    key, d_, k_, cut_ = (fresh_name(docs, x) for x in ("__text_key", "__d", "__k", "__cut"))
+    marked = spans(docs, id, text, d).select(F.col("doc_id").alias(d_), F.col("text_key").alias(k_), cut.alias(cut_)).where(F.size(cut_) > 0).dropDuplicates([d_, k_])
 
     @F.pandas_udf("long")
     def keyed(s):
@@ -315,8 +320,10 @@ def sanitised(docs: DataFrame, id: str = "doc_id", text: str = "text", d: Disclo
 
         return pd.Series([t if c is None else redacted(t or "", [(x["start"], x["kind"], x["end"]) for x in c]) for t, c in zip(s, cuts, strict=True)])
 
-    rows = docs.withColumn(key, keyed(F.col(text))).join(marked, F.col(id).eqNullSafe(F.col("__d")) & (F.col(key) == F.col("__k")), "left")
-    return rows.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__cut")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.col(f"`{text}`")
+    rows = docs.withColumn(key, keyed(whole)).join(marked, F.col(f"`{id}`").cast("long").eqNullSafe(F.col(d_)) & (F.col(key) == F.col(k_)), "left")
+    new = F.when(F.col(cut_).isNull(), whole).otherwise(replaced(whole, F.col(cut_)))
+    return rows.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def redacted(text: str, cuts: list[tuple[int, int, int]]) -> str:

@@ -320,6 +320,54 @@ def test_pii(spark, docs, none):
     assert P.spans(docs).count() == len(ROWS) and P.spans(none).count() == 0
 
 
+def base_by_contract(text):
+    """The patterns as stated, each leftmost and non-overlapping, failing matches dropped."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        odd = digits[::-1][0::2]
+        even = [sum(divmod(2 * x, 10)) for x in digits[::-1][1::2]]
+        if 12 <= len(digits) <= 19 and (sum(odd) + sum(even)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_spans_against_the_patterns(spark):
+    import random
+    import time
+
+    from lodestrata.llm import pii as P
+    from lodestrata.llm.queries import op7_pii  # noqa: F401
+
+    rng = random.Random(12)
+    pieces = ["1", "2", "25", "255", "256", "0", "00", ".", ".", "-", " ", "+", "(", ")", "a", "@", "@b", ".c", "é", "\n", "4111", "1111", "4111111111111111", "%"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(20000)]
+    assert all(P.base_spans(t) == base_by_contract(t) for t in texts)
+    assert sum(map(len, map(base_by_contract, texts))) > 2000
+    for long in ("7" * 400_000, "1.2." * 100_000, "+1" * 200_000, "a" * 400_000 + "@"):
+        at = time.time()
+        P.base_spans(long)
+        assert time.time() - at < 20
+    names = ("email", "ip", "card", "phone")
+    some = [t for t in texts if base_by_contract(t)][:300]
+    rows = P.spans(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", P.joined_spans(P.F.col("base")).alias("s")).collect()
+    for r in rows:
+        want = base_by_contract(some[r.doc_id])
+        assert r.s == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+
+
+def test_pii_repeated_rows_disclose_alike(spark):
+    from lodestrata.llm import pii as P
+
+    rows = [(i, f"Contact Wolfgang at w{i}.q@mail.example.com today, thanks") for i in range(8)] + [(100 + i, f"today thanks {i} words about other things at length") for i in range(400)]
+    x = spark.createDataFrame([*rows, (900, "Wolfgang was here")], "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in (r.terms or [])] for r in P.spans(x.union(x)).collect()}
+    assert got[900] == [4] and got[100] == []
+
+
 def test_pii_terms_of_a_frequent_kind(spark):
     import random
 
