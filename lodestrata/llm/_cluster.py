@@ -71,5 +71,5 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 
 def key_of(column: str | Column) -> Column:
     """A string key that keeps null apart from every value."""
-    c = F.col(column) if isinstance(column, str) else column
+    c = F.col(f"`{column}`") if isinstance(column, str) else column
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))

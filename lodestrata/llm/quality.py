@@ -1,19 +1,26 @@
 """Quality rules: word and line statistics, and robust multivariate outliers by language and source.
 
 Each document becomes a vector of transformed statistics. For each language and
-source a minimum-covariance-determinant estimate is found by concentration steps:
-the rows nearest to the present centre give the next mean and covariance. All rows
-take part in every step; a step is two partially aggregated group-bys, so neither a
-hot source nor the number of groups gathers rows in one place. A document is
-rejected when its squared Mahalanobis distance exceeds the limit.
+source a minimum-covariance-determinant estimate is found by concentration steps: the
+``support`` share of rows nearest to the present centre give the next mean and
+covariance. Steps begin from three centres (the quartiles of each statistic); after
+``first_steps`` the start with the least determinant goes on until no group's
+determinant falls by more than ``settled``, at most ``steps`` times. All rows take part
+in every step. A document is rejected when its squared Mahalanobis distance exceeds the
+limit.
+
+A step is two partially aggregated group-bys. Rows meet their group's estimate by a
+broadcast if the group holds more than one in ``HEAVY`` rows (fewer than that many
+groups do), all others by a shuffle on the group: no hot source is dealt to one task.
 
 Groups of fewer than ``min_rows`` rows use the estimate of their language, or else
-of all documents.
+of all documents. Estimates rest on the statistics that there are: a form of document
+that is rare in its group, such as tables, is an outlier there.
 
 Defined results: null and empty texts have no words, all counts 0, and fail the base
 rules; null language or source form groups of their own; repeated rows and repeated
-ids are judged one by one; empty tables give empty results; columns of the input
-that bear the names used here are left alone (the operator selects its own first).
+ids are judged one by one; empty tables give empty results; columns of the input may
+have any names, they are left alone.
 """
 
 from __future__ import annotations
@@ -27,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._cluster import fresh_name, key_of, written
+from ._cluster import fresh_name, key_of, met, written
 
 FEATURES = ("word_length", "symbols", "repeats", "duplicate_lines", "capitals", "exclamations")
 #: Deviations below these are not told apart: they are added, squared, to each group's variances.
 FLOORS = (0.06, 0.06, 0.10, 0.12, 0.15, 0.10)
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_letters_ascii long, n_exclamations long"
 N_STATS = 9
+#: Groups of a larger share of all rows than one in so many are broadcast to their rows.
+HEAVY = 1024
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -44,7 +53,10 @@ class QualityRules:
     max_repeat_percent: int = 50
     #: Share of a group's rows that each concentration step keeps.
     support: float = 0.6
-    steps: int = 3
+    first_steps: int = 2
+    steps: int = 10
+    #: By how much of itself a determinant must fall for another step.
+    settled: float = 0.01
     #: Probability that a document drawn from the fitted normal distribution is kept.
     keep: float = 0.999
     min_rows: int = 60
@@ -157,8 +169,19 @@ def squared_distance(x: str, mean: str, inverse: str) -> Column:
     return total
 
 
+def dealt(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """left joined with right, a row a group that has its number of rows in ``size``: large groups by broadcast, others by shuffle."""
+    total = right.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > total / HEAVY
+    heavy, light = F.broadcast(right.where(large)), right.where(~large)  # heavy: fewer than HEAVY rows
+    out = left.join(heavy, key)
+    if light.isEmpty():
+        return out
+    return out.unionByName(met(left.join(heavy.select(key).distinct(), key, "left_anti"), light, key))
+
+
 def _inverses(moments: DataFrame) -> DataFrame:
-    """One row a group with n, sums and products of features gives its mean and inverse covariance; rows are independent."""
+    """One row an estimate with n, sums and products of features gives its mean, inverse covariance and the logarithm of the determinant; rows are independent."""
     floors = np.diag(np.square(FLOORS))
 
     def run(frames):
@@ -166,71 +189,100 @@ def _inverses(moments: DataFrame) -> DataFrame:
 
         for f in frames:
             rows = []
-            for g, n, s, q in zip(f["g"], f["n"], f["s"], f["q"], strict=True):
+            for g, start, size, n, s, q in zip(f["g"], f["start"], f["size"], f["n"], f["s"], f["q"], strict=True):
                 mean = np.asarray(s, float) / n
                 cov = np.zeros((P, P))
                 for k, (i, j) in enumerate(PAIRS):
                     cov[i, j] = cov[j, i] = q[k] / n - mean[i] * mean[j]
-                rows.append((g, mean.tolist(), np.linalg.inv(cov + floors).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["g", "mean", "inverse"])
+                cov += floors
+                rows.append((g, start, size, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(rows, columns=["g", "start", "size", "mean", "inverse", "det"])
+
+    return moments.mapInPandas(run, "g string, start int, size long, mean array<double>, inverse array<double>, det double")
+
 
-    return moments.mapInPandas(run, "g string, mean array<double>, inverse array<double>")
+def _step(member: DataFrame, params: DataFrame, rules: QualityRules) -> DataFrame:
+    """member(g, x), params(g, start, size, mean, inverse): a concentration step of every estimate."""
+    distance = squared_distance("x", "mean", "inverse")
+    key = ["g", "start"]
+    limit = dealt(member, params, "g", "size").select(*key, distance.alias("d")).groupBy(*key).agg(F.percentile_approx("d", F.lit(rules.support), F.lit(2000)).alias("limit"))
+    limited = written(params.select("g", "start", "size", "mean", "inverse").join(limit, key))
+    near = dealt(member, limited, "g", "size").where(distance <= F.col("limit"))
+    moments = near.groupBy("g", "start", "size").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("s"),
+        F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("q"),
+    )
+    return written(_inverses(moments))
 
 
 def fit(vectors: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """vectors: lang_key, source_key, x array<double>. Gives g, mean, inverse, factor, n for each group, language and all."""
-    member = vectors.select("x", F.explode(F.array(F.concat_ws("\t", "lang_key", "source_key"), F.col("lang_key"), F.lit(""))).alias("g"))
+    """vectors: lang_key, source_key, x array<double>. Gives g, size (rows of the group), mean, inverse, factor: a row for each language and source."""
+    levels = group_keys(F.col("lang_key"), F.col("source_key"))
+    member = vectors.select("x", F.explode(F.array(*levels)).alias("g"))
     each = [F.col("x")[i] for i in range(P)]
-    quart = member.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(e, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, e in enumerate(each)])
+    quart = member.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(e, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, e in enumerate(each)])
     var = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2 for i in range(P)]
-    start = quart.select("g", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mean"), F.array(*[(1 / var[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inverse"))
-    params = written(start)
-    for _ in range(rules.steps):
-        far = member.join(params, "g").select("g", "x", squared_distance("x", "mean", "inverse").alias("d"))
-        limit = far.groupBy("g").agg(F.percentile_approx("d", F.lit(rules.support), F.lit(2000)).alias("limit"))
-        near = far.join(limit, "g").where(F.col("d") <= F.col("limit"))
-        moments = near.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(e) for e in each]).alias("s"),
-            F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("q"),
-        )
-        params = written(_inverses(moments))
-    far = member.join(params, "g").select("g", squared_distance("x", "mean", "inverse").alias("d"))
+    diagonal = F.array(*[(1 / var[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.array(*[F.col(f"q{i}")[k] for i in range(P)]).alias("mean")) for k in range(3)]))
+    params = written(quart.select("g", "size", starts.alias("s"), diagonal.alias("inverse")).select("g", "size", "s.start", "s.mean", "inverse"))
+    for _ in range(rules.first_steps):
+        params = _step(member, params, rules)
+    best = F.min_by(F.struct("start", "size", "mean", "inverse", "det"), F.struct("det", "start")).alias("p")
+    params = written(params.groupBy("g").agg(best).select("g", "p.*"))
+    for _ in range(rules.steps - rules.first_steps):
+        new = _step(member, params, rules)
+        fall = new.join(params.select("g", F.col("det").alias("before")), "g").agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        params = new
+        if fall is None or fall <= rules.settled:
+            break
+    far = dealt(member, params, "g", "size").select("g", squared_distance("x", "mean", "inverse").alias("d"))
     # half of a normal sample lies within the median of chi square: scales the shrunken covariance
-    scale = far.groupBy("g").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("mid"), F.count(F.lit(1)).alias("n"))
-    return written(params.join(scale, "g").select("g", "mean", "inverse", F.least(F.lit(1.0), chi2_quantile(0.5, P) / F.greatest("mid", F.lit(1e-12))).alias("factor"), "n"))
-
-
-def judged(rows: DataFrame, params: DataFrame, stats: str, lang: str, source: str, rules: QualityRules = QualityRules(), *, into: str = "kept", base: str = "base_failed", keep_columns: list[str]) -> DataFrame:
-    """Adds the base verdict and the final one to rows that carry the struct of STATS."""
-    gs, gl, ga = (params.select(F.col("g").alias(f"__g{k}"), F.struct("mean", "inverse", "factor", "n").alias(f"__p{k}")) for k in range(3))
-    x = rows.withColumn("__x", F.array(*feature_columns(stats))).withColumn("__l", key_of(lang)).withColumn("__ls", F.concat_ws("\t", "__l", key_of(source)))
-    x = x.join(gs, F.col("__ls") == F.col("__g0"), "left").join(gl, F.col("__l") == F.col("__g1"), "left").join(ga, F.col("__g2") == F.lit(""), "left")
-    enough = lambda k: F.col(f"__p{k}.n") >= rules.min_rows
-    x = x.withColumn("__p", F.when(enough(0), F.col("__p0")).when(enough(1), F.col("__p1")).otherwise(F.col("__p2")))
-    x = x.withColumn("__m", F.col("__p.mean")).withColumn("__i", F.col("__p.inverse"))
-    d = squared_distance("__x", "__m", "__i") * F.col("__p.factor")
+    scale = far.groupBy("g").agg(F.percentile_approx("d", F.lit(0.5), F.lit(2000)).alias("mid"))
+    factor = F.least(F.lit(1.0), chi2_quantile(0.5, P) / F.greatest("mid", F.lit(1e-12)))
+    every = written(params.join(scale, "g").select("g", "size", F.struct("mean", "inverse", factor.alias("factor"), F.col("size").alias("rows")).alias("own")))
+    # what each language and source uses: its own estimate, that of the language, or that of all
+    groups = vectors.groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("size"))
+    for k, level in enumerate(levels):
+        groups = groups.withColumn(f"g{k}", level).join(every.select(F.col("g").alias(f"g{k}"), F.col("own").alias(f"p{k}")), f"g{k}", "left")
+    enough = lambda k: F.col(f"p{k}.rows") >= rules.min_rows
+    used = F.when(enough(0), F.col("p0")).when(enough(1), F.col("p1")).otherwise(F.col("p2"))
+    return written(groups.select(F.col("g0").alias("g"), "size", used.alias("p")).select("g", "size", "p.mean", "p.inverse", "p.factor"))
+
+
+def group_keys(lang: Column, source: Column) -> list[Column]:
+    """Of the language and source, of the language, of all."""
+    return [F.concat_ws("\t", F.lit("2"), lang, source), F.concat_ws("\t", F.lit("1"), lang), F.lit("0")]
+
+
+def judged(rows: DataFrame, fits: DataFrame, stats: str, lang: str, source: str, rules: QualityRules = QualityRules()) -> tuple[DataFrame, Column, Column, Column]:
+    """Rows that carry the struct of STATS with helper columns of fresh names; and the base verdict, the squared distance, and the final verdict."""
+    x, g, mean, inverse, factor, size = (fresh_name(rows, f"__{n}") for n in ("x", "g", "mean", "inverse", "factor", "size"))
+    own = rows.withColumn(x, F.array(*feature_columns(stats))).withColumn(g, group_keys(key_of(lang), key_of(source))[0])
+    out = dealt(own, fits.select(*[F.col(c).alias(n) for c, n in zip(("g", "size", "mean", "inverse", "factor"), (g, size, mean, inverse, factor), strict=True)]), g, size)
     words, repeats = F.col(f"`{stats}`.n_words"), F.col(f"`{stats}`.n_repeat_words")
     failed = (words < rules.min_words) | (100 * repeats > rules.max_repeat_percent * words)
-    return x.withColumn(base, failed).withColumn("__d", d).withColumn(into, ~F.col(base) & (F.coalesce(F.col("__d"), F.lit(0.0)) <= chi2_quantile(rules.keep, P))).select(*keep_columns)
+    distance = squared_distance(x, mean, inverse) * F.col(factor)
+    return out, failed, distance, ~failed & (distance <= chi2_quantile(rules.keep, P))
+
+
+def _vectors(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    return docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
 
 
 def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row a document: id, counts, base_failed, distance, kept."""
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    """One row a document: doc_id, counts, base_failed, distance, kept."""
+    own = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
     stats = written(with_statistics(own, as_column="stats", keep_text=False))
-    vectors = stats.select(key_of("lang").alias("lang_key"), key_of("source").alias("source_key"), F.array(*feature_columns("stats")).alias("x"))
-    params = fit(vectors, rules)
-    return judged(stats, params, "stats", "lang", "source", rules, keep_columns=["doc_id", "stats.*", "base_failed", "__d", "kept"]).withColumnRenamed("__d", "distance")
+    fits = fit(stats.select(key_of("lang").alias("lang_key"), key_of("source").alias("source_key"), F.array(*feature_columns("stats")).alias("x")), rules)
+    rows, failed, distance, kept = judged(stats, fits, "stats", "lang", "source", rules)
+    return rows.select("doc_id", "stats.*", failed.alias("base_failed"), distance.alias("distance"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that are kept, with their columns unchanged."""
-    own = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    stats = written(with_statistics(own, as_column="stats", keep_text=False))
-    params = fit(stats.select(key_of("lang").alias("lang_key"), key_of("source").alias("source_key"), F.array(*feature_columns("stats")).alias("x")), rules)
+    stats = written(with_statistics(_vectors(docs, text, lang, source), as_column="stats", keep_text=False))
+    fits = fit(stats.select(key_of("lang").alias("lang_key"), key_of("source").alias("source_key"), F.array(*feature_columns("stats")).alias("x")), rules)
     name = fresh_name(docs, "__quality")
-    rows = with_statistics(docs, text, as_column=name, keep_text=True)
-    verdict = fresh_name(docs, "__kept")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return judged(rows, params, name, lang, source, rules, into=verdict, keep_columns=[*docs.columns, verdict]).where(F.col(verdict)).select(*cols)
+    rows, _, _, kept = judged(with_statistics(docs, text, as_column=name, keep_text=True), fits, name, lang, source, rules)
+    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
