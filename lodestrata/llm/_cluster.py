@@ -57,6 +57,18 @@ def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     return left.join(right.hint("merge"), on, how)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for columns of any names, dots among them; run sees the names of df."""
+    names = df.columns
+
+    def renamed(batches):
+        import pyarrow as pa
+
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _arrays as A
-from ._cluster import discard, fresh_name, met, written
+from ._cluster import fresh_name, map_arrow, met, written
 from .setjoin import bucket_links, components
 
 SHINGLE = 5
@@ -247,7 +247,7 @@ def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "tex
             cols += [pa.array(empty, pa.bool_())] + ([pa.array(n, pa.int64()), pa.array(d, pa.int64())] if counts else [])
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = rows.mapInArrow(run, schema)
+    done = map_arrow(rows, run, schema)
     return done.drop(emptied) if counts else done.where(~F.col(emptied)).drop(emptied)
 
 

@@ -8,9 +8,14 @@ the stream's end it begins again. Slots beyond a source's target are dropped, th
 it lacks come at the end, and its last block is cut, so a source gives its target
 rounded to whole words.
 
+The mix is that schedule: ``taken`` says for each document the first slot that takes of
+it, and ``mixture`` gives the documents in the order of their first slots, so sources
+are interleaved at every scale as the points are.
+
 Nothing is ranked or summed in one place: positions in a stream are sums within ranges
 of the hash, added to the sums of the ranges before; slots are ranked within runs of
 ``RUN`` slots in the same way; a hot source is as many ranges and runs as it needs.
+Texts are shuffled once to meet their takes and once into the order of the slots.
 
 Targets: sources by code point, null last, have the weights 3, 1, 2, repeating, of
 ``share`` times all words; no target exceeds ``repeat`` times its source's words, and
@@ -18,8 +23,9 @@ what is over goes to the others by weight.
 
 Defined results: null texts have no words and are never taken; a null source is a
 source of its own; rows that are equal in id, source and text are told apart by number;
-without any words all targets are 0; empty tables give empty results. Columns that bear
-the names used here are left alone (the operator selects its own first).
+without any words all targets are 0; empty tables give empty results. Columns may have
+any names, they are left alone. A text that ``mixture`` takes in part has its words
+joined by single blanks; one that is taken whole is unchanged.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import fresh_name, key_of, written
+from ._cluster import fresh_name, key_of, partitions, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEAT = 1.5, 2
@@ -43,9 +49,12 @@ FIRST = Window.unboundedPreceding
 
 def sized(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """id, source, size, key of source, shuffle hash, text hash, number among equal rows."""
-    own = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
+    whole = F.col(f"`{text}`")
+    own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.regexp_count(whole, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(whole).alias("text_hash"))
     nth = F.row_number().over(Window.partitionBy("id", "source", "text_hash").orderBy("size"))
-    return own.withColumn("nth", nth).withColumn("key", key_of("source")).withColumn("hash", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
+    # rows without an id are spread by their texts and numbers
+    told = F.coalesce(F.col("id").cast("string"), F.concat_ws(":", F.lit("null"), F.col("text_hash").cast("string"), F.col("nth").cast("string")))
+    return own.withColumn("nth", nth).withColumn("key", key_of("source")).withColumn("hash", F.md5(F.concat(F.lit("mix:"), told)))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -119,28 +128,38 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """(rows with their positions, sources with their targets, pieces)."""
     rows = written(positions(written(sized(docs, id, text, source))))
     sources = targets(rows)
-    return rows, sources, pieces(rows, sources, schedule(sources, block), block)
+    return rows, sources, written(pieces(rows, sources, schedule(sources, block), block))
 
 
 def taken(docs: DataFrame, **names) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken."""
+    """One row a document: id, size, source_size, target, taken, first_slot (the first that takes of it; null if none does)."""
     rows, sources, cut = mixed(docs, **names)
-    sums = cut.groupBy("key", "start").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(True))
+    sums = cut.groupBy("key", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumn("some", F.lit(True))
     out = rows.withColumn("some", F.col("size") > 0).join(sums, ["key", "start", "some"], "left").join(sources.select("key", "source_size", "target"), "key")
-    return out.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
-def mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of the mix with their columns, once for each time they are taken; a text that is taken in part keeps those words, joined by blanks."""
+def mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", *, slot: str | None = None) -> DataFrame:
+    """The documents of the mix with their columns, once for each time they are taken, in the order of their first slots; with ``slot``, a column of that name has the slot."""
     rows, _, cut = mixed(docs, id=id, text=text, source=source)
-    takes = cut.groupBy("key", "start", "epoch").agg(F.min("from_word").alias("from_word"), F.sum("words").alias("words"))
-    takes = takes.join(rows.where("size > 0"), ["key", "start"]).select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), F.col("nth").alias("__n"), "size", "from_word", "words")
-    h, n = fresh_name(docs, "__text_hash"), fresh_name(docs, "__nth")
-    told = docs.withColumn(h, F.xxhash64(F.col(text)))
-    told = told.withColumn(n, F.row_number().over(Window.partitionBy(id, source, h).orderBy(F.lit(1))))
-    got = F.struct("size", "from_word", "words").alias("__take")
-    takes = takes.select("__i", "__s", "__h", "__n", got)
-    both = told.join(takes, F.col(id).eqNullSafe(F.col("__i")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col(h) == F.col("__h")) & (F.col(n) == F.col("__n")))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), (F.col("__take.from_word") + 1).cast("int"), F.col("__take.words").cast("int")), " ")
-    new = F.when(F.col("__take.words") == F.col("__take.size"), F.col(text)).otherwise(part)
-    return both.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    takes = cut.groupBy("key", "start", "epoch").agg(F.min("from_word").alias("from_word"), F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    k, other, n, take = (fresh_name(docs, x) for x in ("__key", "__other", "__nth", "__take"))
+    # two hashes of id, source and text tell rows apart; only the first deals them, so texts are shuffled once
+    same = lambda *parts: (F.xxhash64(*parts), F.xxhash64(F.lit(31), *parts))
+    first, second = same("id", "source", "text_hash")
+    takes = takes.join(rows.where("size > 0"), ["key", "start"]).select(first.alias(f"{k}t"), second.alias(f"{other}t"), F.col("nth").alias(f"{n}t"), F.struct("size", "from_word", "words", "slot").alias(take))
+    first, second = same(F.col(f"`{id}`"), F.col(f"`{source}`"), F.xxhash64(F.col(f"`{text}`")))
+    told = docs.withColumn(k, first).withColumn(other, second).repartition(k)
+    told = told.withColumn(n, F.row_number().over(Window.partitionBy(k, other).orderBy(F.lit(1))))
+    equal = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
+    both = told.join(takes.hint("merge"), (F.col(k) == F.col(f"{k}t")) & equal(other, f"{other}t") & equal(n, f"{n}t"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)), (F.col(f"{take}.from_word") + 1).cast("int"), F.col(f"{take}.words").cast("int")), " ")
+    new = F.when(F.col(f"{take}.words") == F.col(f"{take}.size"), F.col(f"`{text}`")).otherwise(part)
+    at = fresh_name(docs, "__slot")
+    out = both.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(f"{take}.slot").alias(at))
+    spark = docs.sparkSession
+    many = partitions(spark)
+    last = (cut.agg(F.max("slot")).first()[0] or 0) + 1
+    # slots are numbers without gaps, so equal ranges of them are equal shares of the mix
+    out = out.repartitionById(many, F.least(F.floor(F.col(at) * many / last), F.lit(many - 1)).cast("int")).sortWithinPartitions(at)
+    return out.withColumnRenamed(at, slot) if slot else out.drop(at)

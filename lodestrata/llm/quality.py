@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._cluster import fresh_name, key_of, met, written
+from ._cluster import fresh_name, key_of, map_arrow, met, written
 
 FEATURES = ("word_length", "symbols", "repeats", "duplicate_lines", "capitals", "exclamations")
 #: Deviations below these are not told apart: they are added, squared, to each group's variances.
@@ -133,7 +133,7 @@ def with_statistics(docs: DataFrame, text: str = "text", *, as_column: str, keep
             cols[as_column] = pa.StructArray.from_arrays([pa.array(s[:, i]) for i in range(N_STATS)], names=fields)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def feature_columns(s: str) -> list[Column]:

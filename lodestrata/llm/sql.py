@@ -20,10 +20,23 @@ s4 AS (
 src AS (
   SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS whole FROM s4),
 docs AS (
-  SELECT z.*, CAST(coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized z)
+  SELECT z.*, CAST(coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized z),
+total AS (SELECT CAST(sum(whole) AS BIGINT) AS words, (CAST(sum(whole) AS BIGINT) + 63) // 64 AS n FROM src),
+spans AS (
+  SELECT rk, source, whole, CAST(coalesce(sum(whole) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST((SELECT words FROM total) AS DOUBLE) AS lo,
+         CAST(sum(whole) OVER (ORDER BY rk) AS DOUBLE) / CAST((SELECT words FROM total) AS DOUBLE) AS hi
+  FROM src),
+turns AS (
+  SELECT i, CAST(i // 1048576 AS DOUBLE) * CAST('0.607787409740350972' AS DOUBLE) + CAST(i % 1048576 AS DOUBLE) * CAST('0.6180339887498949' AS DOUBLE) AS x FROM range((SELECT n FROM total)) t(i)),
+hits AS (
+  SELECT t.i AS slot, s.rk, row_number() OVER (PARTITION BY s.rk ORDER BY t.i) - 1 AS nth FROM turns t JOIN spans s ON t.x - floor(t.x) >= s.lo AND t.x - floor(t.x) < s.hi),
+late AS (
+  SELECT (SELECT n FROM total) + rk AS slot, rk, unnest(range(coalesce((SELECT count(*) FROM hits h WHERE h.rk = s.rk), 0), (whole + 63) // 64)) AS nth FROM spans s),
+slots AS (SELECT slot, rk, nth FROM hits UNION ALL SELECT slot, rk, nth FROM late)
 SELECT d.doc_id, d.size, s.source_size, s.target,
-       greatest(0, least(d.start + d.size, s.whole) - d.start) + greatest(0, least(s.source_size + d.start + d.size, s.whole) - s.source_size - d.start) AS taken
-FROM docs d JOIN src s ON d.source IS NOT DISTINCT FROM s.source
+       greatest(0, least(d.start + d.size, s.whole) - d.start) + greatest(0, least(s.source_size + d.start + d.size, s.whole) - s.source_size - d.start) AS taken,
+       CASE WHEN d.size > 0 AND d.start < s.whole THEN l.slot END AS first_slot
+FROM docs d JOIN src s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN slots l ON l.rk = s.rk AND l.nth = d.start // 64
 """
 
 CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")

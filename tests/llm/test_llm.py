@@ -286,6 +286,53 @@ def test_mixing(spark, docs, none):
     assert sum(len(words(r.text)) for r in mix.collect()) == sum(r.taken for r in got)
 
 
+def test_mixture_follows_the_schedule(spark):
+    from lodestrata.llm import mixing as M
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(64 + i % 5)), f"s{i % 3}") for i in range(300)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mixture(x, slot="at").collect()
+    at = [r["at"] for r in got]
+    assert at == sorted(at)
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, r["at"])
+    assert {r.id: r.first_slot for r in M.taken(x).collect() if r.first_slot is not None} == seen
+    # every run of the mix holds each source about as often as its target says
+    share = Counter(r.source for r in got)
+    for lo in range(0, len(got) - 60, 60):
+        part = Counter(r.source for r in got[lo : lo + 60])
+        assert all(abs(part[s] - 60 * n / len(got)) <= 8 for s, n in share.items())
+    # another order of points gives another mix of the same amounts
+    golden = M.golden_point
+    M.golden_point = lambda i: M.F.lit(0.0) + i * 0
+    try:
+        plain = M.taken(x).collect()
+    finally:
+        M.golden_point = golden
+    assert {(r.id, r.taken) for r in plain} == {(r.id, r.taken) for r in M.taken(x).collect()}
+    assert [(r.id, r.first_slot) for r in sorted(plain, key=str)] != [(r.id, r.first_slot) for r in sorted(M.taken(x).collect(), key=str)]
+
+
+def test_operators_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline as P
+
+    words_ = [f"word{k}" for k in range(97)]
+    rows = [(i, " ".join(words_[(i * 7 + k * (i % 11 + 1)) % 97] + str(i) for k in range(60)), "en", "s", 1, 2, 3, 4, 5, 6, None, 7) for i in range(30)]
+    rows += [rows[0], (99, None, None, None, *[None] * 8), (100, "", "en", None, *[None] * 8)]
+    names = ["base_failed", "__x", "__take", "__gone", "__cut", "__nth", "a.b", "__key"]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    from lodestrata.llm.pii import sanitised
+
+    for name, stage in [*P.STAGES[:-1], ("sanitised", lambda _, d, __: sanitised(d))]:
+        got = stage(spark, x, "")
+        assert got.columns == x.columns, name
+        kept = got.collect()
+        assert kept and all(tuple(r)[4:] == (1, 2, 3, 4, 5, 6, None, 7) for r in kept if (r.doc_id if r.doc_id is not None else 99) < 99), name
+        assert stage(spark, x.where("1 = 0"), "").count() == 0, name
+    assert P.STAGES[-1][1](spark, x, "").count() == len(rows)
+
+
 def test_chat(spark):
     from lodestrata.llm import chat as C
 
