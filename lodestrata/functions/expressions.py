@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in titles.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "with")
+STOP_WORDS = (
+    "a", "an", "the", "is", "it",
+    "in", "of", "to", "and", "or",
+    "for", "on", "at", "by", "with",
+    "this", "that", "from", "as", "be",
+)
 
 
 def signal_id(source, kind, path, line, title) -> Column:
-    """First 8 hex digits of SHA-256 over the five fields, joined by NUL."""
-    parts = [F.col(c) if isinstance(c, str) else c for c in (source, kind, path, line, title)]
-    return F.substring(F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256), 1, 8)
+    """First 8 hex digits of SHA-256 over the five fields, joined by NUL; null texts are empty, a null line is 0."""
+    source, kind, path, line, title = (F.col(c) if isinstance(c, str) else c for c in (source, kind, path, line, title))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    parts = [text(source), text(kind), text(path), F.coalesce(line, F.lit(0)).cast("string"), text(title)]
+    return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 8)
 
 
 def priority(confidence: Column, explicit: Column | None = None) -> Column:
@@ -80,7 +87,54 @@ def normal_route(route: Column) -> Column:
 
 
 def general_route(route: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(normal_route(route), r"\{[^}]*\}", "{param}"), r"[0-9]+", "{param}")
+    """The normal form with every named parameter as {param}."""
+    return F.regexp_replace(normal_route(route), r"\{[^}]+\}", "{param}")
+
+
+def clean_path(path: Column) -> Column:
+    """Without empty and . segments, each .. taking back the segment before it; those with nothing to take back stay in front. Empty gives a dot."""
+    # the array is never empty, so that its last element can be asked for
+    first = F.array(F.lit(".."))
+    kept = F.aggregate(F.split(path, "/"), first, lambda done, part: F.when(part.isin("", "."), done).when((part == "..") & (F.size(done) > 1) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part))))
+    joined = F.array_join(F.slice(kept, F.lit(2), F.size(kept)), "/")
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def joined_path(folder: Column, target: Column) -> Column:
+    """target as seen from folder, cleaned."""
+    return clean_path(F.concat_ws("/", folder, target))
+
+
+def folder_of(path: Column) -> Column:
+    """The directory of a path; a dot at the top."""
+    cut = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.when(cut == "", ".").otherwise(cut)
+
+
+def extension(path: Column) -> Column:
+    """The last dot of the last segment and what follows; empty without one."""
+    return F.regexp_extract(path, r"(\.[^./]*)$", 1)
+
+
+# How the names of test files end or begin, by extension, and the folders whose files are tests.
+TEST_FILE = (
+    r"^src/test/(?:java|kotlin|scala)/"
+    r"|_test\.go$"
+    r"|\.(?:test|spec)\.(?:js|ts|jsx|tsx)$"
+    r"|(?:^|/)test_[^/]*\.py$|_test\.py$"
+    r"|_(?:spec|test)\.rb$|(?:^|/)test_[^/]*\.rb$"
+    r"|[^/](?:Test|Tests|Spec)\.(?:java|kt)$"
+    r"|(?:^|/)(?:tests|benches)/(?:[^/]*/)*[^/]*\.rs$|_test\.rs$"
+    r"|Tests?\.cs$"
+    r"|(?:Test|_test)\.php$|(?:^|/)tests/(?:[^/]*/)*[^/]*\.php$"
+    r"|[^/](?:Test|Tests|Spec|Suite)\.scala$"
+    r"|_test\.exs$"
+    r"|Tests?\.swift$|(?:^|/)Tests/(?:[^/]*/)*[^/]*\.swift$"
+)
+
+
+def is_test_file(path: Column) -> Column:
+    return path.rlike(TEST_FILE)
 
 
 def entropy(text: Column) -> Column:
@@ -92,10 +146,12 @@ def entropy(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
-def clone_confidence(locations: Column, lines: int, near: bool) -> Column:
-    base = F.when(locations >= 4, 0.45).when(locations == 3, 0.40).otherwise(0.35)
-    base = base + (0.20 if lines >= 50 else 0.15 if lines >= 30 else 0.10 if lines >= 15 else 0.0)
-    return base - 0.05 if near else base
+def clone_confidence(locations: Column, lines, near: bool) -> Column:
+    """By length, piecewise linear; more with three and four places, less for near clones; at most 0.8."""
+    n = lines if isinstance(lines, Column) else F.lit(lines)
+    base = F.when(n >= 50, 0.75).when(n >= 30, 0.60 + 0.15 * (n - 30) / 19).when(n >= 15, 0.45 + 0.15 * (n - 15) / 14).otherwise(0.35 + 0.10 * (n - 6) / 8)
+    base = base + F.when(locations >= 4, 0.10).when(locations >= 3, 0.05).otherwise(0.0)
+    return F.least(base - 0.05 if near else base, F.lit(0.80))
 
 
 def cvss_severity(vector: Column) -> Column:
@@ -108,3 +164,13 @@ def cvss_severity(vector: Column) -> Column:
 
 def severity_confidence(severity: Column) -> Column:
     return F.when(severity == "high", 0.95).when(severity == "low", 0.60).otherwise(0.80)
+
+
+def human_size(n: Column) -> Column:
+    """In GB, MB or KB of powers of ten with one decimal (halves up), below that in B."""
+    unit = lambda size, name: F.concat(F.format_string("%.1f", n / size), F.lit(f" {name}"))
+    return F.when(n >= 1e9, unit(1e9, "GB")).when(n >= 1e6, unit(1e6, "MB")).when(n >= 1e3, unit(1e3, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def first_line(text: Column) -> Column:
+    return F.split(text, "\n", 2)[0]

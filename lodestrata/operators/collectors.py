@@ -6,8 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expressions import ancestors, clone_confidence, entropy, general_route, linear, severity_confidence
+from ..functions.expressions import ancestors, clone_confidence, entropy, folder_of, general_route, joined_path, linear, severity_confidence
 
 # Comment markers and their base confidences.
 MARKERS = {"TODO": 0.5, "FIXME": 0.65, "HACK": 0.55, "XXX": 0.45, "BUG": 0.8, "OPTIMIZE": 0.35}
@@ -82,9 +83,6 @@ def large_files(lines: DataFrame, threshold: int = 1500) -> DataFrame:
     return g.where((F.col("n_lines") > threshold) & (F.col("generated") == 0)).select("path", "n_lines", F.least(0.4 + 0.4 * (ratio - 1), F.lit(0.8)).alias("confidence"))
 
 
-TEST_PATH = r"(?:_test\.go|_test\.py|/test_[^/]*\.py|\.(?:test|spec)\.[jt]sx?|Tests?\.(?:java|kt|cs|swift)|_(?:test|spec)\.(?:rb|exs?|rs)|Test\.php)$|(?:^|/)(?:tests?|spec|__tests__)/"
-
-
 def test_ratio(files: DataFrame, least: int = 3, limit: float = 0.1) -> DataFrame:
     """files(dir, is_test): dir, source_files, test_files, ratio, assessment, low."""
     g = files.groupBy("dir").agg(F.count_if(~F.col("is_test")).alias("source_files"), F.count_if("is_test").alias("test_files"))
@@ -169,7 +167,15 @@ def entropy_tokens(lines: DataFrame, least: int = 16) -> DataFrame:
     return tokens.withColumn("entropy", F.round(entropy(F.col("token")), 6))
 
 
-def env_drift(code_vars: DataFrame, template: DataFrame, known: tuple[str, ...] = ("PATH", "HOME", "USER", "SHELL", "PWD", "LANG", "TERM", "TMPDIR", "HOSTNAME", "CI", "EDITOR")) -> DataFrame:
+# Variables of the system that need no template.
+WELL_KNOWN = (
+    "PATH", "HOME", "USER", "SHELL",
+    "TERM", "LANG", "PWD", "GOPATH",
+    "GOROOT", "NODE_ENV", "CI",
+)
+
+
+def env_drift(code_vars: DataFrame, template: DataFrame, known: tuple[str, ...] = WELL_KNOWN) -> DataFrame:
     """code_vars(var, path), template(key): variables that code reads and no template names; nothing where there is no template."""
     first = code_vars.where(~F.col("var").isin(*known) & ~F.col("var").startswith("GITHUB_")).groupBy("var").agg(F.min("path").alias("path"))
     some = template.limit(1).select(F.lit(1).alias("one"))
@@ -178,8 +184,13 @@ def env_drift(code_vars: DataFrame, template: DataFrame, known: tuple[str, ...]
 
 def dead_keys(template: DataFrame, words: DataFrame) -> DataFrame:
     """template(key), words(word): keys that occur in no word of the code."""
-    used = template.join(words.select("word").distinct(), F.col("word").contains(F.col("key")), "left_semi")
-    return template.join(used, "key", "left_anti").withColumn("confidence", F.lit(0.4))
+    used = template.select("key").distinct().withColumn("n", F.length("key")).where("n > 0")
+    lengths = used.select("n").distinct()  # one for each length of a key, a bounded number of names' lengths
+    # every part of a word that has a key's length, met by equality: no nested loop over words and keys
+    parts = words.select("word").distinct().join(F.broadcast(lengths.groupBy().agg(F.collect_set("n").alias("ns"))))
+    parts = parts.select(F.explode(F.flatten(F.transform("ns", lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, n))).otherwise(F.array().cast("array<string>"))))).alias("key"))
+    found = used.select("key").join(parts, "key", "left_semi")
+    return template.join(found, "key", "left_anti").where(F.length("key") > 0).withColumn("confidence", F.lit(0.4))
 
 
 def inconsistent_defaults(env: DataFrame) -> DataFrame:
@@ -205,7 +216,10 @@ def stale_versions(spec: DataFrame, code: DataFrame, pattern: str = r"/v([0-9]+)
 
 def broken_links(links: DataFrame, existing: DataFrame) -> DataFrame:
     """links(doc, target) that are neither external nor anchors and whose target(path) isn't there."""
-    inner = links.where(~F.col("target").rlike(r"^(?:https?://|mailto:|#)") & (F.col("target") != "")).withColumn("path", F.regexp_replace("target", r"[#?].*$", ""))
+    plain = F.regexp_replace("target", r"#.*$", "")
+    inner = links.where(~F.col("target").rlike(r"^(?:https?://|mailto:)") & (plain != ""))
+    # targets are seen from the document's directory, unless doc isn't a path
+    inner = inner.withColumn("path", joined_path(folder_of(F.col("doc")), plain) if isinstance(links.schema["doc"].dataType, T.StringType) else plain)
     return inner.join(existing.select("path").distinct(), "path", "left_anti").select("doc", "target", F.lit(0.6).alias("confidence"))
 
 
@@ -225,23 +239,40 @@ def doc_drift(touches: DataFrame, pairs: DataFrame, least: int = 10) -> DataFram
 
 
 # Words that normalisation leaves alone.
-KEYWORDS = ("if", "else", "for", "while", "return", "func", "function", "def", "class", "import", "from", "in", "and", "or", "not", "true", "false", "null", "nil", "none", "var", "let", "const", "switch", "case", "break", "continue", "try", "catch", "throw", "new", "this", "self", "public", "private", "static", "void", "int", "string", "bool")
+KEYWORDS = (
+    "if", "else", "for", "while", "do",
+    "switch", "case", "break", "continue",
+    "return", "yield", "throw", "try",
+    "catch", "finally", "except", "raise",
+    "func", "function", "def", "fn", "var",
+    "let", "const", "val", "type", "class",
+    "struct", "enum", "interface", "trait",
+    "impl", "module", "package", "namespace",
+    "public", "private", "protected", "static",
+    "final", "abstract", "override", "virtual",
+    "async", "await", "mut", "pub",
+    "true", "false", "nil", "null", "none",
+    "self", "this", "super", "new",
+    "range", "in", "not", "and", "or",
+    "is", "as", "with", "from", "select",
+    "defer", "go", "chan", "map", "end",
+)
 
 
 def normalised_lines(lines: DataFrame, near: bool = False, comments: str = r"^(?://|#|/\*|\*|--|import |from |package |use )") -> DataFrame:
     """path, line, text without blank, comment and import lines; near: identifiers become $."""
     x = lines.withColumn("text", F.trim("text")).where((F.col("text") != "") & ~F.col("text").rlike(comments))
     if near:
-        x = x.withColumn("text", F.regexp_replace("text", rf"\b(?!(?:{'|'.join(KEYWORDS)})\b)[A-Za-z_][A-Za-z0-9_]*", "\\$"))
+        x = x.withColumn("text", F.regexp_replace("text", rf"(?<![A-Za-z0-9_])(?!(?:{'|'.join(KEYWORDS)})(?![A-Za-z0-9_]))[A-Za-z_][A-Za-z0-9_]*", "\\$"))
     return x
 
 
 def clone_windows(lines: DataFrame, size: int = 6) -> DataFrame:
-    """path, start, window: each run of so many lines of a file, as text. Files are windows' partitions, so none is cut."""
+    """path, start, stop, window: each run of so many lines of a file, as text. Files are windows' partitions, so none is cut."""
     w = Window.partitionBy("path").orderBy("line")
     parts = [F.lead("text", k).over(w) for k in range(size)]
-    x = lines.select("path", F.col("line").alias("start"), F.concat_ws("\n", *parts).alias("window"), parts[-1].alias("last"))
-    return x.where("last is not null").drop("last")
+    x = lines.select("path", F.col("line").alias("start"), F.lead("line", size - 1).over(w).alias("stop"), F.concat_ws("\n", *parts).alias("window"))
+    return x.where("stop is not null")
 
 
 def clone_groups(windows: DataFrame, size: int, near: bool = False) -> DataFrame:
@@ -250,6 +281,31 @@ def clone_groups(windows: DataFrame, size: int, near: bool = False) -> DataFrame
     return g.where("locations >= 2").select("window_id", "locations", F.col("first.path").alias("path"), F.col("first.start").alias("start"), clone_confidence(F.col("locations"), size, near).alias("confidence"))
 
 
+def merged_clones(windows: DataFrame, size: int, near: bool = False) -> DataFrame:
+    """windows(path, start, stop, window): blocks of clones, from windows that occur twice or more.
+
+    Groups of equal windows are one block where one begins within ``size`` lines after the
+    other and both stand in the same files as often. clone (the smallest window id of the
+    block), path, start, stop of each place; lines, the longest; confidence. Groups meet by
+    equality of path, line and file set; the sets are compared by hash.
+    """
+    from ..plans.tables import written
+    from .graph import components
+
+    g = windows.select(F.sha2("window", 256).alias("g"), "path", "start", "stop")
+    of = g.groupBy("g", "path").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths"), F.bit_xor(F.xxhash64("path")).alias("h1"), F.try_sum(F.shiftright(F.xxhash64("path", F.lit(3)), 16)).alias("h2")).where("n >= 2")
+    at = written(g.join(of, "g"))
+    after = at.select(F.col("g").alias("a"), "path", "n", "paths", "h1", "h2", F.explode(F.sequence(F.col("start") + 1, F.col("start") + size)).alias("start"))
+    links = after.join(at.select(F.col("g").alias("b"), "path", "n", "paths", "h1", "h2", "start"), ["path", "n", "paths", "h1", "h2", "start"]).where("a <> b").select("a", "b").distinct()
+    block = components(links).withColumnRenamed("id", "g")
+    placed = at.join(block, "g", "left").select(F.coalesce("component", "g").alias("clone"), "path", "start", "stop")
+    spans = placed.groupBy("clone", "path").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("windows"))
+    whole = spans.groupBy("clone").agg(F.max(F.col("stop") - F.col("start") + 1).alias("lines"), F.count(F.lit(1)).alias("files"))
+    most = at.join(block, "g", "left").groupBy(F.coalesce("component", "g").alias("clone")).agg(F.max("n").alias("locations"))
+    x = spans.join(whole, "clone").join(most, "clone")
+    return x.select("clone", "path", "start", "stop", "lines", "locations", clone_confidence(F.col("locations"), F.col("lines"), near).alias("confidence"))
+
+
 def subtract_exact(near: DataFrame, exact: DataFrame, size: int) -> DataFrame:
     """near, exact (group, path, start): near groups with some line that no exact clone covers."""
     cover = lambda x: x.withColumn("line", F.explode(F.sequence(F.col("start"), F.col("start") + size - 1)))
@@ -258,13 +314,63 @@ def subtract_exact(near: DataFrame, exact: DataFrame, size: int) -> DataFrame:
     return left.where(~F.col("all_covered")).select("group")
 
 
+# Symbols that a runtime or a test runner calls, and beginnings of such names.
+SKIPPED_NAMES = (
+    "main", "init", "setup", "teardown",
+    "constructor", "render", "componentDidMount",
+    "componentDidUpdate", "componentWillUnmount",
+    "setUp", "tearDown", "run",
+    "__init__", "__str__", "__repr__",
+    "__enter__", "__exit__", "__call__",
+    "__len__", "__getitem__", "__setitem__",
+    "__delitem__", "__iter__", "__next__",
+    "__eq__", "__hash__", "__lt__",
+    "__le__", "__gt__", "__ge__",
+    "__add__", "__sub__", "__mul__",
+    "__contains__", "__bool__", "__new__",
+    "initialize",
+)
+SKIPPED_PREFIXES = ("Test", "Benchmark", "Example", "test_", "test")
+
+
+def skipped_symbol(name: Column) -> Column:
+    """Names of two bytes or fewer, those that others call, and names between double underscores."""
+    begins = F.lit(False)
+    for p in SKIPPED_PREFIXES:
+        begins = begins | name.startswith(p)
+    return (F.octet_length(name) <= 2) | name.isin(*SKIPPED_NAMES) | begins | (name.startswith("__") & name.endswith("__"))
+
+
 def dead_symbols(symbols: DataFrame, tokens: DataFrame) -> DataFrame:
-    """symbols(symbol, path), tokens(token, path): symbols that no other file mentions; token equality replaces word search."""
-    uses = symbols.join(tokens.select(F.col("token").alias("symbol"), F.col("path").alias("used_in")).distinct(), "symbol").where("used_in <> path").select("symbol", "path").distinct()
-    return symbols.join(uses, ["symbol", "path"], "left_anti").where(F.length("symbol") > 2)
+    """symbols(symbol, path, …), tokens(token, path): symbols that stand once in their own file and in no other.
 
+    tokens may have is_test; then test_only marks symbols that only test files mention. Each
+    (token, path) is counted first, then each token; a symbol compares its own file's count
+    with the token's whole, so no symbol meets the files that mention it one by one.
+    """
+    test = F.col("is_test") if "is_test" in tokens.columns else F.lit(False)
+    here = tokens.groupBy("token", "path").agg(F.count(F.lit(1)).alias("times"), F.max(test).alias("is_test"))
+    per = here.groupBy("token").agg(F.sum("times").alias("all_times"), F.count(F.lit(1)).alias("files"), F.count_if(~F.col("is_test")).alias("plain_files"))
+    own = here.select(F.col("token").alias("symbol"), "path", "times", F.col("is_test").alias("own_test"))
+    x = symbols.where(~skipped_symbol(F.col("symbol"))).join(own, ["symbol", "path"], "left").join(per.withColumnRenamed("token", "symbol"), "symbol", "left")
+    others = F.coalesce("files", F.lit(0)) - F.when(F.col("times").isNull(), 0).otherwise(1)
+    plain = F.coalesce("plain_files", F.lit(0)) - F.when(F.col("times").isNull() | F.col("own_test"), 0).otherwise(1)
+    dead = x.withColumn("test_only", others > 0).where((F.coalesce("times", F.lit(0)) <= 1) & (plain == 0))
+    return dead.select(*symbols.columns, "test_only")
 
-def complexity(blocks: DataFrame, branch: str = r"\b(?:if|for|while|case|catch|elif|except)\b|&&|\|\|", least: float = 6.0) -> DataFrame:
+
+def dead_code_confidence(extension: Column, exported: Column, internal: Column, test_only: Column) -> Column:
+    """By language and visibility; internal: below a directory named internal."""
+    go = F.when(~exported, 0.7).when(internal, 0.6).otherwise(0.3)
+    rust = F.when(~exported, 0.6).otherwise(0.4)
+    return F.when(test_only, 0.3).when(extension == ".go", go).when(extension == ".rs", rust).otherwise(F.when(~exported, 0.5).otherwise(0.4))
+
+
+#: Fixed value: what counts as a branch.
+BRANCH = r"\b(?:if|else\s+if|elif|elsif|for|while|switch|case|catch|except|guard|when|unless)\b|&&|\|\|"
+
+
+def complexity(blocks: DataFrame, branch: str = BRANCH, least: float = 6.0) -> DataFrame:
     """blocks(path, name, lines, text): score from length and branches."""
     x = blocks.withColumn("branches", F.regexp_count("text", F.lit(branch)).cast("long")).withColumn("score", F.col("lines") / 50.0 + F.col("branches"))
     conf = F.when(F.col("score") >= 15, 0.8).when(F.col("score") >= 8, 0.6 + 0.2 * (F.col("score") - 8) / 7).otherwise(0.5 + 0.1 * (F.col("score") - 6) / 2)
@@ -298,6 +404,29 @@ def pull_requests(prs: DataFrame, reviews: DataFrame, now: str) -> DataFrame:
     return x.select("number", kind.alias("kind"), F.round(conf, 6).alias("confidence"))
 
 
+def closed_items(items: DataFrame, since: str) -> DataFrame:
+    """items(number, pull, merged, closed): closed issues, and merged and other closed pull requests, since a time."""
+    kind = F.when(~F.col("pull"), "github-closed-issue").when(F.col("merged"), "github-merged-pr").otherwise("github-closed-pr")
+    x = items.where(F.col("closed").isNotNull() & (F.col("closed") >= F.lit(since).cast("timestamp"))).withColumn("kind", kind)
+    return x.select("number", "kind", F.when(F.col("kind") == "github-closed-pr", 0.2).otherwise(0.3).alias("confidence"), F.array("kind", F.lit("pre-closed")).alias("tags"))
+
+
+def retracted_versions(lines: DataFrame) -> DataFrame:
+    """lines(path, line, text) of go.mod files: the versions that the module retracts, alone or as a range, within a block or not."""
+    w = Window.partitionBy("path").orderBy("line")
+    x = lines.where(F.col("path").rlike(r"(?:^|/)go\.mod$"))
+    opens, closes = F.col("text").rlike(r"^\s*retract\s*\("), F.col("text").rlike(r"^\s*\)")
+    others = F.col("text").rlike(r"^\s*(?:require|replace|exclude)\s*\(")
+    inside = F.last(F.when(opens, True).when(closes | others, False), ignorenulls=True).over(w)
+    body = F.regexp_replace(F.regexp_replace("text", r"//.*$", ""), r"^\s*retract\s+", "")
+    got = F.regexp_extract(body, r"^\s*(\[\s*v[^\],\s]+\s*,\s*v[^\]\s]+\s*\]|v\S+)\s*$", 1)
+    span = F.regexp_replace(F.regexp_replace(got, r"\s+", ""), ",", ", ")
+    alone = F.regexp_extract(span, r"^\[(.+), \1\]$", 1)
+    x = x.withColumn("inside", F.coalesce(inside, F.lit(False)) & ~opens).withColumn("version", F.when(alone != "", alone).otherwise(span))
+    x = x.where((F.col("version") != "") & (F.col("inside") | F.col("text").rlike(r"^\s*retract\s+")))
+    return x.select(*signal("dephealth", "retracted-version", F.col("path"), F.col("line"), F.concat(F.lit("Retracted version: "), "version"), 0.3))
+
+
 def actionable(comments: DataFrame, words: str = r"(?i)\b(?:TODO|FIXME|should|needs|must)\b", most: int = 30) -> DataFrame:
     """comments(thread, nth, text): the first so many of each thread that ask for something."""
     x = comments.where(F.col("text").rlike(words)).withColumn("rank", F.row_number().over(Window.partitionBy("thread").orderBy("nth", "text")))

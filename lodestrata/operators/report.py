@@ -69,3 +69,57 @@ def conventions(backlog: DataFrame) -> DataFrame:
 
 def priority_histogram(signals: DataFrame) -> DataFrame:
     return signals.groupBy("source", priority(F.col("confidence")).cast("long").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hygiene_section(signals: DataFrame) -> DataFrame:
+    """issue, n: the four kinds of untidiness, also those that do not occur, and their total."""
+    names = {"large-binary": "Large binaries", "merge-conflict-marker": "Merge conflict markers", "committed-secret": "Committed secrets", "mixed-line-endings": "Mixed line endings"}
+    one = signals.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in names.items()], F.count_if(F.col("kind").isin(*names)).alias("Total"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("issue"), F.col(f"`{n}`").alias("n")) for n in (*names.values(), "Total")])).alias("x")).select("x.issue", "x.n")
+
+
+def complexity_section(functions: DataFrame, most: int = 20) -> DataFrame:
+    """The functions of the greatest score."""
+    return functions.orderBy(F.desc("score"), "path", "start").limit(most)
+
+
+def debt_by_kind(signals: DataFrame, examples: int = 5) -> DataFrame:
+    """kind, n, examples: how many signals of each kind and the first few, as title and place."""
+    place = F.concat("file_path", F.when(F.coalesce("line", F.lit(0)) > 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""))
+    w = Window.partitionBy("kind").orderBy("file_path", "line", "title")
+    x = signals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= examples).withColumn("example", F.concat("title", F.lit(" ("), place, F.lit(")")))
+    few = x.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("e"))
+    n = signals.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(few, "kind").select("kind", "n", F.array_join(F.transform("e", lambda e: e["example"]), "; ").alias("examples"))
+
+
+def modules_affected(changed: DataFrame) -> DataFrame:
+    """changed(number, path): number, context: the modules that a change touches, with their numbers of files."""
+    from ..functions.expressions import owner_module
+
+    n = changed.groupBy("number", owner_module(F.col("path")).alias("module")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.concat("module", F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " file)").otherwise(" files)"))
+    g = n.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("module", part.alias("part")))).alias("parts"))
+    return g.select("number", F.concat(F.lit("Modules affected: "), F.array_join(F.transform("parts", lambda p: p["part"]), ", ")).alias("context"))
+
+
+def priority_check(signals: DataFrame) -> DataFrame:
+    """assigned, p1, distinct, warning: whether priorities look suspicious (more than half the first, or all the same)."""
+    g = signals.agg(F.count("priority").alias("assigned"), F.count_if(F.col("priority") == 1).alias("p1"), F.countDistinct("priority").alias("distinct"))
+    warning = F.when(F.col("assigned") == 0, "").otherwise(F.concat_ws(", ", F.when(2 * F.col("p1") > F.col("assigned"), "more than half P1"), F.when(F.col("distinct") == 1, "all the same")))
+    return g.withColumn("warning", warning)
+
+
+def merged_clusters(signals: DataFrame) -> DataFrame:
+    """signals(cluster, confidence, tags): cluster, n, the greatest confidence, the union of the tags."""
+    g = signals.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
+    return g
+
+
+def owners_section(owners: DataFrame, most: int = 3) -> DataFrame:
+    """owners(dir, author, share): dir and its first contributors with their shares in percent."""
+    w = Window.partitionBy("dir").orderBy(F.desc("share"), "author")
+    x = owners.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    label = F.concat("author", F.lit(" "), F.round(100 * F.col("share")).cast("int").cast("string"), F.lit("%"))
+    g = x.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("top"))
+    return g.select("dir", F.array_join(F.transform("top", lambda t: t["label"]), ", ").alias("contributors"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import priority, signal_id
+from ..functions.expressions import clean_path, priority, signal_id
 
 _TEXTS = T.ArrayType(T.StringType())
 SCHEMA = T.StructType(
@@ -39,10 +39,6 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def clean_path(p: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(p, r"/\./", "/"), r"^\./", "")
-
-
 def rejects(signals: DataFrame) -> DataFrame:
     """Adds reasons, the rules that a signal breaks, as one string."""
     path = F.coalesce("file_path", F.lit(""))
@@ -50,7 +46,7 @@ def rejects(signals: DataFrame) -> DataFrame:
         "title": F.trim(F.coalesce("title", F.lit(""))) == "",
         "source": F.trim(F.coalesce("source", F.lit(""))) == "",
         "absolute": path.startswith("/"),
-        "traversal": clean_path(path).startswith(".."),
+        "traversal": ~path.startswith("/") & clean_path(path).startswith(".."),
         "confidence": F.coalesce(~F.col("confidence").between(0.0, 1.0), F.lit(True)),
     }
     return signals.withColumn("reasons", F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in rules.items()]))

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import STOP_WORDS, jaccard, title_words
 
 
 def similar_titles(titles: DataFrame, least: float = 0.5) -> DataFrame:
-    """titles(id, title): pairs a < b whose words' Jaccard similarity reaches the limit. Only pairs with a word in common meet."""
+    """titles(id, title): pairs a < b whose words' Jaccard similarity reaches the limit.
+
+    Pairs meet by their rarest words only: of n words the first n - ceil(least n) + 1, in
+    the order of how many titles hold them, always have one in common with a similar title.
+    """
     x = titles.select("id", title_words(F.col("title")).alias("words"))
-    w = x.select("id", "words", F.explode("words").alias("w"))
+    often = x.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("id").orderBy("often", "w")
+    size = F.size("words")
+    w = x.select("id", "words", F.explode("words").alias("w")).join(often, "w").withColumn("nth", F.row_number().over(order))
+    w = w.where(F.col("nth") <= size - F.ceil(F.lit(least) * size - 1e-9) + 1)
     a, b = (w.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words"), "w") for c in ("a", "b"))
     pairs = a.join(b, "w").where("a < b").select("a", "b", "a_words", "b_words").dropDuplicates(["a", "b"])
     return pairs.withColumn("similarity", F.round(jaccard(F.col("a_words"), F.col("b_words")), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")

@@ -79,3 +79,53 @@ def fingerprints(now: DataFrame, before: DataFrame, key: str = "signal_id") -> D
     """new, unchanged or absent for each fingerprint of either run."""
     a, b = now.select(key).distinct().withColumn("a", F.lit(1)), before.select(key).distinct().withColumn("b", F.lit(1))
     return a.join(b, key, "full").select(key, F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "absent").otherwise("unchanged").alias("state"))
+
+
+def with_dependencies(signals: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """signals(signal_id, …), dependencies(from_id, to_id, type): fills blocks and depends_on from edges of type blocks between known signals."""
+    ids = signals.select("signal_id").distinct()
+    e = dependencies.where("type = 'blocks' and from_id <> to_id").select("from_id", "to_id").distinct()
+    e = e.join(ids.select(F.col("signal_id").alias("from_id")), "from_id", "left_semi").join(ids.select(F.col("signal_id").alias("to_id")), "to_id", "left_semi")
+    out = e.groupBy(F.col("from_id").alias("signal_id")).agg(F.array_sort(F.collect_set("to_id")).alias("blocks"))
+    into = e.groupBy(F.col("to_id").alias("signal_id")).agg(F.array_sort(F.collect_set("from_id")).alias("depends_on"))
+    rest = [c for c in signals.columns if c not in ("blocks", "depends_on")]
+    return signals.select(*rest).join(out, "signal_id", "left").join(into, "signal_id", "left")
+
+
+def delta_text(changes: DataFrame, moves: DataFrame) -> list[str]:
+    """changes(signal_id, file_path, line, title, change), moves(kind, title, from_path, …): the lines of a report, added, removed and moved. For reading: the driver holds it."""
+    mark = {"added": "+", "removed": "-"}
+    out = [f"{mark[r['change']]} {r['title']} ({r['file_path']}:{r['line']})" for r in changes.orderBy("change", "file_path", "line").toLocalIterator()]
+    return out + [f"~ {r['title']} ({r['from_path']}:{r['from_line']} -> {r['to_path']}:{r['to_line']})" for r in moves.orderBy("title", "from_path", "from_line").toLocalIterator()]
+
+
+def write_state(signals: DataFrame, path: str, version: str) -> None:
+    """A new version of the state beside the old ones; readers take the last."""
+    signals.write.parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def read_state(spark, path: str, version: str | None = None) -> DataFrame | None:
+    """The state of a version, else of the last; None where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    found = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("version="))
+    found = [n for n in found if version is None or n == f"version={version}"]
+    return spark.read.parquet(f"{path.rstrip('/')}/{found[-1]}") if found else None
+
+
+def read_backlog(spark, path: str) -> DataFrame:
+    """A backlog of JSON lines; a bad line is an error."""
+    return spark.read.schema("id string, title string, description string, status string, priority int, issue_type string, labels array<string>").option("mode", "FAILFAST").json(path)
+
+
+def read_sarif(spark, path: str) -> DataFrame:
+    """rule, level, text, file_path, line, signal_id of the results of a SARIF document."""
+    location = "array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
+    result = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:{location},partialFingerprints:map<string,string>>"
+    x = spark.read.schema(f"runs array<struct<results:array<{result}>>>").option("multiLine", True).json(path)
+    r = x.select(F.explode("runs").alias("run")).select(F.explode("run.results").alias("r"))
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return r.select(F.col("r.ruleId").alias("rule"), F.col("r.level").alias("level"), F.col("r.message.text").alias("text"), at["artifactLocation"]["uri"].alias("file_path"), at["region"]["startLine"].alias("line"), F.get(F.map_values("r.partialFingerprints"), F.lit(0)).alias("signal_id"))

@@ -55,3 +55,19 @@ def nation_edges(spark: SparkSession, sf_dir: str, least: int = 200) -> DataFram
     n = x.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     total = li.agg(F.count(F.lit(1)).alias("total"))
     return n.join(F.broadcast(total)).where(F.col("n") * 60000 >= least * F.col("total")).select("src", "dst")
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a Python file for each part, which imports two others by its key and defines a function and a class."""
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("app.m"), (x % 7).cast("string"), F.lit(".f"), x.cast("string"))
+    call = F.when(k % 3 == 0, F.concat(F.lit("run_"), (k + 1).cast("string"))).otherwise("helper")
+    content = F.concat(F.lit("import "), name(k + 1), F.lit("\nfrom "), name(k * 3), F.lit(".thing import x\nimport os\ndef run_"), k.cast("string"), F.lit("(a):\n    if a and b:\n        return 1\n    for i in a:\n        pass\n    return "), call, F.lit("(a)\n\nclass Kind"), k.cast("string"), F.lit(":\n    pass\n"))
+    return table(spark, sf_dir, "part").select(k.alias("part"), F.concat(F.replace(name(k), F.lit("."), F.lit("/")), F.lit(".py")).alias("path"), content.alias("content"))
+
+
+def touched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, author, ts: events as touches of documents."""
+    k = F.col("event_id") % 50
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("src"), (k % 20).cast("string"), F.lit("/"), k.cast("string"), F.lit(".md")).alias("path"), F.col("user_id").cast("string").alias("author"), "ts")

@@ -14,7 +14,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage by writing and rereading; survives lost executors."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file:///tmp/checkpoints"
+    folder = folder.rstrip("/")
     path = f"{folder}/lodestrata-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")

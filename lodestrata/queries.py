@@ -14,10 +14,12 @@ from .functions import expressions as X
 from .operators import collectors as C
 from .operators import graph as G
 from .operators import report as R
+from .operators import scan as N
 from .operators import signals as S
 from .operators import similarity as M
 from .operators import state as D
 from .plans import roles as P
+from .sources import code as Y
 from .sources import sinks as K
 
 WORDS = {"license": 0.45, "released": 0.55, "token": 0.8, "copyright": 0.35}
@@ -43,7 +45,7 @@ LINES = """lines AS (
   SELECT path, CAST(i AS INTEGER) AS line, text FROM (
     SELECT source || '/' || doc_id || '.md' AS path, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS text,
            generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS i FROM documents))"""
-ID = "substr(sha256(concat_ws(chr(0), source, kind, file_path, CAST(line AS VARCHAR), title)), 1, 8)"
+ID = "substr(sha256(coalesce(source, '') || chr(0) || coalesce(kind, '') || chr(0) || coalesce(file_path, '') || chr(0) || coalesce(line, 0) || chr(0) || coalesce(title, '')), 1, 8)"
 PRIO = "CASE WHEN confidence >= 0.8 THEN 1 WHEN confidence >= 0.6 THEN 2 WHEN confidence >= 0.4 THEN 3 ELSE 4 END"
 MARK = rf"""{LINES}, hit AS (
   SELECT path, line, regexp_extract(text, '(?i)\b(LICENSE|RELEASED|TOKEN|COPYRIGHT)\b(?:\([^)]*\))?\s*[:>\-]?\s*(.*)', 1) AS w,
@@ -77,13 +79,13 @@ def line_reader(spark, d):
     return P.lines(P.files(spark, d)).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last_line"))
 
 
-@query("""WITH x AS (SELECT path, CASE doc_id % 6 WHEN 1 THEN '' WHEN 2 THEN ' ' ELSE 't' END AS title, CASE doc_id % 6 WHEN 3 THEN '/' || path WHEN 4 THEN '../' || path ELSE path END AS file_path,
+@query("""WITH x AS (SELECT path, CASE doc_id % 6 WHEN 1 THEN '' WHEN 2 THEN ' ' ELSE 't' END AS title, CASE doc_id % 6 WHEN 3 THEN '/' || path WHEN 4 THEN CASE WHEN doc_id % 12 = 4 THEN '../' ELSE 'a/b/../.././../' END || path WHEN 2 THEN 'a/./../' || path ELSE path END AS file_path,
    CASE doc_id % 6 WHEN 5 THEN 1.5 ELSE 0.5 END AS confidence FROM (SELECT doc_id, source || '/' || doc_id || '.md' AS path FROM documents))
- SELECT file_path, concat_ws(',', CASE WHEN trim(title) = '' THEN 'title' END, CASE WHEN file_path LIKE '/%' THEN 'absolute' END, CASE WHEN file_path LIKE '..%' THEN 'traversal' END, CASE WHEN confidence > 1 THEN 'confidence' END) AS reasons FROM x""")
+ SELECT file_path, concat_ws(',', CASE WHEN trim(title) = '' THEN 'title' END, CASE WHEN file_path LIKE '/%' THEN 'absolute' END, CASE WHEN file_path LIKE '..%' OR file_path LIKE 'a/b/../..%' THEN 'traversal' END, CASE WHEN confidence > 1 THEN 'confidence' END) AS reasons FROM x""")
 def validate_rejects(spark, d):
     x = P.table(spark, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     k = F.col("doc_id") % 6
-    x = x.select(F.lit("s").alias("source"), F.when(k == 1, "").when(k == 2, " ").otherwise("t").alias("title"), F.when(k == 3, F.concat(F.lit("/"), "path")).when(k == 4, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("file_path"), F.when(k == 5, 1.5).otherwise(0.5).alias("confidence"))
+    x = x.select(F.lit("s").alias("source"), F.when(k == 1, "").when(k == 2, " ").otherwise("t").alias("title"), F.when(k == 3, F.concat(F.lit("/"), "path")).when(k == 4, F.concat(F.when(F.col("doc_id") % 12 == 4, "../").otherwise("a/b/../.././../"), "path")).when(k == 2, F.concat(F.lit("a/./../"), "path")).otherwise(F.col("path")).alias("file_path"), F.when(k == 5, 1.5).otherwise(0.5).alias("confidence"))
     return S.rejects(x).select("file_path", "reasons")
 
 
@@ -216,7 +218,7 @@ def review_concentration(spark, d):
     return C.review_concentration(x, 3, 0.1)
 
 
-@query("WITH u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS n FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, 'Contributor ' || CASE WHEN n < 26 THEN chr(CAST(65 + n AS INTEGER)) ELSE chr(CAST(64 + n // 26 AS INTEGER)) || chr(CAST(65 + n % 26 AS INTEGER)) END AS label FROM u WHERE n < 700")
+@query("WITH u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS n FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, 'Contributor ' || CASE WHEN n < 26 THEN chr(CAST(65 + n AS INTEGER)) ELSE CASE WHEN n < 702 THEN '' WHEN n < 18278 THEN chr(CAST(65 + (n - 702) // 676 AS INTEGER)) ELSE chr(CAST(65 + (n - 18278) // 17576 AS INTEGER)) || chr(CAST(65 + (n - 18278) // 676 % 26 AS INTEGER)) END || CASE WHEN n < 702 THEN chr(CAST(64 + n // 26 AS INTEGER)) WHEN n < 18278 THEN chr(CAST(65 + (n - 702) // 26 % 26 AS INTEGER)) ELSE chr(CAST(65 + (n - 18278) // 26 % 26 AS INTEGER)) END || chr(CAST(65 + n % 26 AS INTEGER)) END AS label FROM u")
 def anonymise_authors(spark, d):
     from pyspark.sql import Window
 
@@ -265,8 +267,17 @@ ROUTES = r"""p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)
 
 @query(f"WITH {ROUTES} SELECT route, 'undocumented-route' AS kind, 0.6::DOUBLE AS confidence FROM g WHERE page_id % 5 <> 0 AND route NOT IN (SELECT route FROM g WHERE page_id % 5 = 0) GROUP BY 1 UNION ALL SELECT route, 'unimplemented-route', 0.5 FROM g WHERE page_id % 5 = 0 AND route NOT IN (SELECT route FROM g WHERE page_id % 5 <> 0) GROUP BY 1")
 def route_drift(spark, d):
-    p = P.page_paths(spark, d).select("page_id", F.col("path").alias("route"))
-    return C.route_drift(p.where("page_id % 5 = 0"), p.where("page_id % 5 <> 0"))
+    # numbers are named parameters, in braces in the specification, after a colon in the code
+    p = P.page_paths(spark, d).where(~F.col("path").rlike(r"[\^$?*+\[(|]"))
+    named = lambda form: F.regexp_replace("path", "[0-9]+", form).alias("route")
+    return C.route_drift(p.where("page_id % 5 = 0").select(named("{id}")), p.where("page_id % 5 <> 0").select(named(":n")))
+
+
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/v1/users/<int{id}>' WHEN 1 THEN '/v2/users/{userid}' ELSE '/v2/users/' || page_id END AS normal, CASE page_id % 3 WHEN 0 THEN '/v1/users/<int{param}>' WHEN 1 THEN '/v2/users/{param}' ELSE '/v2/users/' || page_id END AS general FROM pages""")
+def route_generalise(spark, d):
+    k = F.col("page_id") % 3
+    raw = F.when(k == 0, "/V1/users/<int:id>/?q=1").when(k == 1, "/v2/Users/:userId#x").otherwise(F.concat(F.lit("/v2/users/"), F.col("page_id").cast("string")))
+    return P.table(spark, d, "pages").select("page_id", X.normal_route(raw).alias("normal"), X.general_route(raw).alias("general"))
 
 
 @query("WITH v AS (SELECT page_id % 2 AS side, page_id % 9 AS v FROM pages) SELECT DISTINCT v AS version, (SELECT max(v) FROM v WHERE side = 0) AS top, 0.7::DOUBLE AS confidence FROM v WHERE side = 1 AND v < (SELECT max(v) FROM v WHERE side = 0)")
@@ -303,17 +314,39 @@ NORM = f"""{LINES}, n AS (SELECT path, line, trim(text, ' ') AS text FROM lines
  w AS (SELECT path, line AS start, concat_ws(chr(10), text, lead(text, 1) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o) AS win, lead(text, 3) OVER o AS l FROM n WINDOW o AS (PARTITION BY path ORDER BY line)), win AS (SELECT path, start, win FROM w WHERE l IS NOT NULL)"""
 
 
-@query(f"WITH {NORM} SELECT sha256(win) AS window_id, count(*) AS locations, min(path) AS path, 0.1 * 0 + CASE WHEN count(*) >= 4 THEN 0.45 WHEN count(*) = 3 THEN 0.40 ELSE 0.35 END::DOUBLE AS confidence FROM win GROUP BY win HAVING count(*) >= 2")
+@query(f"WITH {NORM} SELECT sha256(win) AS window_id, count(*) AS locations, min(path) AS path, round(0.35 + 0.10 * (4 - 6) / 8.0 + CASE WHEN count(*) >= 4 THEN 0.10 WHEN count(*) >= 3 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS confidence FROM win GROUP BY win HAVING count(*) >= 2")
 def exact_clones(spark, d):
     w = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4)
     return C.clone_groups(w, 4).select("window_id", "locations", "path", r6("confidence").alias("confidence"))
 
 
-@query(f"WITH {NORM}, a AS (SELECT path, start, sha256(regexp_replace(win, '[A-Za-z]+', '$', 'g')) AS g FROM win) SELECT g AS window_id, count(*) AS locations FROM a GROUP BY g HAVING count(*) >= 2")
+KEEP = ", ".join(f"'{k}'" for k in C.KEYWORDS)
+NEAR = f"""pieces AS (SELECT path, line, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({KEEP}) THEN '$' ELSE x END), '') AS text FROM n),
+ nw AS (SELECT path, line AS start, concat_ws(chr(10), text, lead(text, 1) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o) AS win, lead(text, 3) OVER o AS l FROM pieces WINDOW o AS (PARTITION BY path ORDER BY line)), near AS (SELECT path, start, sha256(win) AS g FROM nw WHERE l IS NOT NULL)"""
+
+
+@query(f"WITH {NORM}, {NEAR} SELECT g AS window_id, count(*) AS locations, round(0.30 + 0.10 * (4 - 6) / 8.0 + CASE WHEN count(*) >= 4 THEN 0.10 WHEN count(*) >= 3 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS confidence FROM near GROUP BY g HAVING count(*) >= 2")
 def near_clones(spark, d):
-    x = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4)
-    x = x.withColumn("window", F.regexp_replace("window", "[A-Za-z]+", "\\$"))
-    return C.clone_groups(x, 4, near=True).select("window_id", "locations")
+    x = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d)), near=True), 4)
+    return C.clone_groups(x, 4, near=True).select("window_id", "locations", r6("confidence").alias("confidence"))
+
+
+@query("""SELECT n AS lines, k AS locations, round(least(CASE WHEN n >= 50 THEN 0.75 WHEN n >= 30 THEN 0.60 + 0.15 * (n - 30) / 19.0 WHEN n >= 15 THEN 0.45 + 0.15 * (n - 15) / 14.0 ELSE 0.35 + 0.10 * (n - 6) / 8.0 END + CASE WHEN k >= 4 THEN 0.10 WHEN k >= 3 THEN 0.05 ELSE 0 END, 0.8)::DOUBLE, 6) AS confidence
+ FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) + 4 AS n, CAST(l_linenumber AS BIGINT) + 1 AS k FROM lineitem)""")
+def clone_confidence(spark, d):
+    x = P.table(spark, d, "lineitem").select((F.col("l_quantity").cast("long") + 4).alias("lines"), (F.col("l_linenumber").cast("long") + 1).alias("locations")).distinct()
+    return x.withColumn("confidence", r6(X.clone_confidence(F.col("locations"), F.col("lines"), False)))
+
+
+@query(f"""WITH RECURSIVE {NORM}, loc AS (SELECT w.path, w.line AS start, w.stop, sha256(w.win) AS g FROM (SELECT path, line, concat_ws(chr(10), text, lead(text, 1) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o) AS win, lead(line, 3) OVER o AS stop FROM n WINDOW o AS (PARTITION BY path ORDER BY line)) w WHERE stop IS NOT NULL),
+ grp AS (SELECT g, count(*) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM loc GROUP BY g HAVING count(*) >= 2), pos AS (SELECT loc.*, grp.n, grp.paths FROM loc JOIN grp USING (g)),
+ ed AS (SELECT DISTINCT a.g AS a, b.g AS b FROM pos a JOIN pos b ON a.path = b.path AND b.start > a.start AND b.start <= a.start + 4 AND a.n = b.n AND a.paths = b.paths AND a.g <> b.g), e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+ r(id, c) AS (SELECT a, a FROM e2 UNION SELECT e2.b, r.c FROM r JOIN e2 ON r.id = e2.a), cc AS (SELECT id, min(c) AS c FROM r GROUP BY id), pl AS (SELECT coalesce(cc.c, pos.g) AS clone, pos.path, pos.start, pos.stop, pos.n FROM pos LEFT JOIN cc ON cc.id = pos.g),
+ sp AS (SELECT clone, path, min(start) AS start, max(stop) AS stop, max(n) AS n FROM pl GROUP BY 1, 2), wh AS (SELECT clone, max(stop - start + 1) AS lines, max(n) AS locations FROM sp GROUP BY 1)
+ SELECT clone, path, start, stop, lines, locations, round(least(CASE WHEN lines >= 50 THEN 0.75 WHEN lines >= 30 THEN 0.60 + 0.15 * (lines - 30) / 19.0 WHEN lines >= 15 THEN 0.45 + 0.15 * (lines - 15) / 14.0 ELSE 0.35 + 0.10 * (lines - 6) / 8.0 END + CASE WHEN locations >= 4 THEN 0.10 WHEN locations >= 3 THEN 0.05 ELSE 0 END, 0.8)::DOUBLE, 6) AS confidence FROM sp JOIN wh USING (clone)""")
+def merged_clones(spark, d):
+    w = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4)
+    return C.merged_clones(w, 4).withColumn("confidence", r6("confidence"))
 
 
 @query(f"""WITH RECURSIVE {NORM}, e AS (SELECT DISTINCT a.path AS a, b.path AS b FROM win a JOIN win b ON a.win = b.win AND a.path <> b.path), r(id, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a) SELECT id, min(c) AS component FROM r GROUP BY id""")
@@ -323,25 +356,24 @@ def clone_components(spark, d):
     return G.components(w.join(lead, "g").select("a", F.col("path").alias("b")).where("a <> b"))
 
 
-@query(f"""WITH {NORM}, ex AS (SELECT path, start FROM win WHERE win IN (SELECT win FROM win GROUP BY win HAVING count(*) >= 2)), a AS (SELECT path, start, sha256(regexp_replace(win, '[A-Za-z]+', '$', 'g')) AS g FROM win),
- nr AS (SELECT * FROM a WHERE g IN (SELECT g FROM a GROUP BY g HAVING count(*) >= 2)), cov AS (SELECT DISTINCT path, start + k AS line FROM ex, range(4) t(k)), need AS (SELECT g, path, start + k AS line FROM nr, range(4) t(k))
+@query(f"""WITH {NORM}, {NEAR}, ex AS (SELECT path, start FROM win WHERE win IN (SELECT win FROM win GROUP BY win HAVING count(*) >= 2)),
+ nr AS (SELECT * FROM near WHERE g IN (SELECT g FROM near GROUP BY g HAVING count(*) >= 2)), cov AS (SELECT DISTINCT path, start + k AS line FROM ex, range(4) t(k)), need AS (SELECT g, path, start + k AS line FROM nr, range(4) t(k))
  SELECT DISTINCT g AS window_id FROM need WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.path = need.path AND cov.line = need.line)""")
 def clone_subtract(spark, d):
     from .plans.tables import written
 
-    w = written(C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4))
+    lines = P.lines(P.files(spark, d))
+    windows = lambda near: written(C.clone_windows(C.normalised_lines(lines, near=near), 4).select(F.sha2("window", 256).alias("group"), "path", "start"))
     twice = lambda x: x.join(x.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("group"), "group")
-    exact = twice(w.select(F.sha2("window", 256).alias("group"), "path", "start"))
-    near = twice(w.select(F.sha2(F.regexp_replace("window", "[A-Za-z]+", "\\$"), 256).alias("group"), "path", "start"))
-    return C.subtract_exact(near, exact, 4).select(F.col("group").alias("window_id"))
+    return C.subtract_exact(twice(windows(True)), twice(windows(False)), 4).select(F.col("group").alias("window_id"))
 
 
 EDGES = """edges AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 HAVING count(*) * 60000 >= 200 * (SELECT count(*) FROM lineitem))"""
 
 
-@query(f"WITH {EDGES} SELECT src, count(DISTINCT dst) AS n, CASE WHEN count(DISTINCT dst) >= 20 THEN 0.7 WHEN count(DISTINCT dst) >= 15 THEN 0.55 WHEN count(DISTINCT dst) >= 10 THEN 0.4 ELSE 0.0 END::DOUBLE AS confidence FROM edges WHERE src <> dst GROUP BY src HAVING count(DISTINCT dst) >= 2 AND count(DISTINCT dst) < 11")
+@query(f"WITH {EDGES} SELECT src, count(DISTINCT dst) AS n, round(CASE WHEN count(DISTINCT dst) >= 20 THEN 0.7 WHEN count(DISTINCT dst) >= 15 THEN 0.55 + 0.15 * (count(DISTINCT dst) - 15) / 4 WHEN count(DISTINCT dst) >= 10 THEN 0.4 + 0.15 * (count(DISTINCT dst) - 10) / 4 ELSE 0.0 END::DOUBLE, 6) AS confidence FROM edges WHERE src <> dst GROUP BY src HAVING count(DISTINCT dst) >= 2")
 def fan_out(spark, d):
-    return C.fan_out(P.nation_edges(spark, d), 2)
+    return C.fan_out(P.nation_edges(spark, d), 2).withColumn("confidence", r6("confidence"))
 
 
 @query(f"""WITH RECURSIVE {EDGES.replace(">= 200", ">= 170")}, r(src, dst) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src AND e.src <> e.dst), m AS (SELECT a.src, least(min(a.dst), a.src) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
@@ -350,8 +382,12 @@ def circular_deps(spark, d):
     return G.cycles(P.nation_edges(spark, d, 170))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM lines), s AS (SELECT DISTINCT path, regexp_extract(text, '^[A-Za-z0-9_]+') AS symbol FROM lines WHERE regexp_extract(text, '^[A-Za-z0-9_]+') <> '')
- SELECT symbol, path FROM s WHERE length(symbol) > 2 AND NOT EXISTS (SELECT 1 FROM t WHERE t.token = s.symbol AND t.path <> s.path)""")
+SKIPPED = ", ".join(f"'{k}'" for k in C.SKIPPED_NAMES)
+
+
+@query(f"""WITH {LINES}, t AS (SELECT path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM lines), h AS (SELECT token, path, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT token, count(*) AS files FROM h GROUP BY 1),
+ s AS (SELECT DISTINCT path, regexp_extract(text, '^[A-Za-z0-9_]+') AS symbol FROM lines WHERE regexp_extract(text, '^[A-Za-z0-9_]+') <> '')
+ SELECT s.symbol, s.path, false AS test_only FROM s JOIN h ON h.token = s.symbol AND h.path = s.path JOIN f ON f.token = s.symbol WHERE n = 1 AND files = 1 AND strlen(s.symbol) > 2 AND s.symbol NOT IN ({SKIPPED}) AND NOT regexp_matches(s.symbol, '^(Test|Benchmark|Example|test)') AND NOT (starts_with(s.symbol, '__') AND ends_with(s.symbol, '__'))""")
 def dead_symbols(spark, d):
     x = P.lines(P.files(spark, d))
     s = x.select("path", F.regexp_extract("text", "^[A-Za-z0-9_]+", 0).alias("symbol")).where("symbol <> ''").distinct()
@@ -387,11 +423,145 @@ def churn_section(spark, d):
     return R.churn_section(C.churn(P.commits(spark, d), NOW, least=1))
 
 
-@query(f"""WITH {MARK}, s AS (SELECT *, split_part(file_path, '/', 1) AS module, {PRIO} AS p FROM markers), g AS (SELECT module, count(*) AS total, count(*) FILTER (WHERE p = 1) AS p1, count(*) FILTER (WHERE p = 2) AS p2, count(*) FILTER (WHERE p = 3) AS p3, count(*) FILTER (WHERE p = 4) AS p4 FROM s GROUP BY module),
- k AS (SELECT module, kind, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, kind) AS rn FROM s GROUP BY module, kind), t AS (SELECT module, string_agg(kind, ',' ORDER BY rn) AS top_kinds FROM k WHERE rn <= 3 GROUP BY module)
- SELECT module, total, p1, p2, p3, p4, 4 * p1 + 3 * p2 + 2 * p3 + p4 AS health, top_kinds FROM g JOIN t USING (module) ORDER BY health DESC, module LIMIT 20""")
+SCAN = f"""{MARK}, touched AS (SELECT 'src' || (event_id % 50 % 20) || '/' || (event_id % 50) || '.md' AS path, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 90 DAY GROUP BY 1 HAVING count(*) >= 10),
+ long AS (SELECT path, count(*) AS n FROM lines GROUP BY path HAVING count(*) > 20),
+ raw AS (SELECT * FROM markers UNION ALL SELECT 'gitlog', 'churn', path, 0, 'High churn: ' || path || ' (modified ' || n || ' times in 90 days)', CASE WHEN n >= 30 THEN 0.8 ELSE 0.4 + (n - 10) / 20.0 * 0.4 END::DOUBLE FROM touched
+  UNION ALL SELECT 'patterns', 'large-file', path, 0, 'Large file: ' || path || ' (' || n || ' lines)', least(0.4 + 0.4 * (n / 20.0 - 1), 0.8)::DOUBLE FROM long),
+ one AS (SELECT {ID} AS signal_id, source, kind, file_path, line, title, max(confidence) AS c FROM raw WHERE trim(title) <> '' GROUP BY ALL),
+ scan AS (SELECT signal_id, source, kind, file_path, line, title, round(least(1.0, c + CASE WHEN kind <> 'churn' AND file_path IN (SELECT path FROM touched) THEN 0.05 ELSE 0 END), 6)::DOUBLE AS confidence FROM one)"""
+
+
+def scanned(spark: SparkSession, d: str, **how) -> DataFrame:
+    roles = {"files": P.files(spark, d), "commits": P.touched_documents(spark, d)}
+    o = N.Options(now=NOW, markers={k.upper(): v for k, v in WORDS.items()}, comment=r"\b", large_lines=20)
+    return N.scan(roles, o, names=N.chosen(include=("todos", "gitlog", "patterns")), **how).withColumn("confidence", r6("confidence"))
+
+
+@query(f"WITH {SCAN} SELECT * FROM scan")
+def scan_signals(spark, d):
+    return scanned(spark, d).select("signal_id", "source", "kind", "file_path", "line", "title", "confidence")
+
+
+@query(f"WITH {SCAN} SELECT signal_id, file_path, line, confidence FROM scan WHERE regexp_matches(file_path, '^(.*/)?src1/.*$') AND confidence >= 0.45 ORDER BY {PRIO}, confidence DESC, file_path, line, title LIMIT 10")
+def scan_restricted(spark, d):
+    x = scanned(spark, d, confidence=0.45).where(F.col("file_path").rlike(r"^(?:.*/)?src1/.*$"))
+    return S.capped(x, 10, ["file_path", "line", "title"]).select("signal_id", "file_path", "line", "confidence")
+
+
+@query(f"WITH {SCAN}, s AS (SELECT *, split_part(file_path, '/', 1) AS module, {PRIO} AS p FROM scan), g AS (SELECT module, count(*) AS total, count(*) FILTER (WHERE p = 1) AS p1, count(*) FILTER (WHERE p = 2) AS p2, count(*) FILTER (WHERE p = 3) AS p3, count(*) FILTER (WHERE p = 4) AS p4 FROM s GROUP BY module),"
+       " k AS (SELECT module, kind, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, kind) AS rn FROM s GROUP BY module, kind), t AS (SELECT module, string_agg(kind, ',' ORDER BY rn) AS top_kinds FROM k WHERE rn <= 3 GROUP BY module)"
+       " SELECT module, total, p1, p2, p3, p4, 4 * p1 + 3 * p2 + 2 * p3 + p4 AS health, top_kinds FROM g JOIN t USING (module) ORDER BY health DESC, module LIMIT 20")
 def module_summary(spark, d):
-    return R.module_summary(marker_signals(spark, d))
+    return R.module_summary(scanned(spark, d))
+
+
+@query(f"WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS source, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'a/b.go' END AS file_path, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END AS line, CAST(user_id AS VARCHAR) AS title FROM events) SELECT event_id, {ID} AS signal_id FROM e")
+def signal_ids(spark, d):
+    k = F.col("event_id")
+    e = P.table(spark, d, "events").select(k, F.when(k % 5 == 0, None).otherwise(F.col("event_type")).alias("source"), F.col("event_type").alias("kind"), F.when(k % 3 == 0, None).otherwise("a/b.go").alias("file_path"), F.when(k % 7 == 0, None).otherwise(k).alias("line"), F.col("user_id").cast("string").alias("title"))
+    return S.with_id(e).select("event_id", "signal_id")
+
+
+DEMO = ("examples/", "x/demo/", "docs/a/", "lib/", "")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'examples/' WHEN 1 THEN 'x/demo/' WHEN 2 THEN 'docs/a/' WHEN 3 THEN 'lib/' ELSE '' END || event_id || '.go' AS file_path, CASE WHEN event_id % 2 = 0 THEN 'missing-tests' ELSE 'churn' END AS kind FROM events WHERE event_id % 5 >= 3 OR event_id % 2 = 1")
+def demo_suppression(spark, d):
+    k = F.col("event_id")
+    path = F.concat(F.element_at(F.array(*[F.lit(x) for x in DEMO]), (k % 5 + 1).cast("int")), k.cast("string"), F.lit(".go"))
+    x = P.table(spark, d, "events").select(k, path.alias("file_path"), F.when(k % 2 == 0, "missing-tests").otherwise("churn").alias("kind"))
+    return N.without_demos(x)
+
+
+CODE = "c AS (SELECT CAST(p_partkey AS BIGINT) AS k, 'app.m' || (p_partkey % 7) || '.f' || p_partkey AS m, 'app/m' || (p_partkey % 7) || '/f' || p_partkey || '.py' AS path FROM part)"
+
+
+@query(f"WITH {CODE} SELECT DISTINCT a.m AS src, b.m AS dst FROM c a JOIN c b ON (b.k = a.k + 1 OR b.k = 3 * a.k) AND a.k <> b.k")
+def import_edges(spark, d):
+    return Y.import_edges(N.lines_of(P.code_files(spark, d)))
+
+
+@query(f"WITH {CODE}, e AS (SELECT DISTINCT a.m AS src, b.m AS dst FROM c a JOIN c b ON (b.k = a.k + 1 OR b.k = 3 * a.k) AND a.k <> b.k) SELECT 'coupling' AS source, 'high-coupling' AS kind, src AS file_path, 'High coupling: ' || src || ' imports ' || count(*) || ' modules' AS title FROM e GROUP BY src HAVING count(*) >= 2")
+def coupling_signals(spark, d):
+    x = N.coupling({"files": P.code_files(spark, d)}, N.Options(fan_out=2, cycles=False))[0]
+    return x.select("source", "kind", "file_path", "title")
+
+
+@query(f"WITH {CODE} SELECT path, 'run_' || k AS name, 4 AS start, 10 AS stop, 5::BIGINT AS lines, 2::BIGINT AS branches, 2.1::DOUBLE AS score FROM c")
+def function_extraction(spark, d):
+    return Y.functions(P.code_files(spark, d)).withColumn("score", r6("score"))
+
+
+@query(f"WITH {CODE} SELECT 'unused-function' AS kind, path AS file_path, 4 AS line, 'Unused function: run_' || k AS title, 0.4::DOUBLE AS confidence FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.k % 3 = 0 AND o.k + 1 = c.k) UNION ALL SELECT 'unused-type', path, 11, 'Unused type: Kind' || k, 0.4 FROM c")
+def dead_code_signals(spark, d):
+    return N.deadcode({"files": P.code_files(spark, d)}, N.Options())[0].select("kind", "file_path", "line", "title", "confidence")
+
+
+@query(rf"""WITH {LINES}, s AS (SELECT path, {SECRET_SQL} AS secret FROM lines), c AS (SELECT path FROM lines WHERE regexp_matches(text, '^(<{{7}}|={{7}}|>{{7}})\s') GROUP BY path), m AS (SELECT source || '/' || doc_id FROM documents WHERE len(string_split(text, chr(13) || chr(10))) > 2 AND len(string_split(text, chr(10))) - len(string_split(text, chr(13) || chr(10))) >= 2),
+ n AS (SELECT 'Large binaries' AS issue, 0::BIGINT AS n UNION ALL SELECT 'Merge conflict markers', count(*) FROM c UNION ALL SELECT 'Committed secrets', count(*) FROM s WHERE secret IS NOT NULL UNION ALL SELECT 'Mixed line endings', count(*) FROM m) SELECT * FROM n UNION ALL SELECT 'Total', CAST(sum(n) AS BIGINT) FROM n""")
+def hygiene_section(spark, d):
+    f = P.files(spark, d)
+    return R.hygiene_section(C.hygiene(P.lines(f), f, C.SECRETS | C.MORE_SECRETS, least_entropy=99.0))
+
+
+@query(f"WITH {MARK}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY file_path, line, title) AS rn, count(*) OVER (PARTITION BY kind) AS n FROM markers) SELECT kind, max(n) AS n, string_agg(title || ' (' || file_path || ':' || line || ')', '; ' ORDER BY rn) AS examples FROM r WHERE rn <= 5 GROUP BY kind")
+def debt_by_kind(spark, d):
+    return R.debt_by_kind(marker_signals(spark, d))
+
+
+@query("WITH m AS (SELECT l_orderkey AS number, CASE l_linenumber % 3 WHEN 0 THEN 'a.go' WHEN 1 THEN 'cmd/x.go' ELSE 'internal/m' || (l_partkey % 3) || '/y.go' END AS path FROM lineitem), k AS (SELECT number, CASE WHEN path = 'a.go' THEN '.' WHEN path = 'cmd/x.go' THEN 'cmd' ELSE regexp_replace(path, '/y.go$', '') END AS module, count(*) AS n FROM m GROUP BY 1, 2) SELECT number, 'Modules affected: ' || string_agg(module || ' (' || n || CASE WHEN n = 1 THEN ' file)' ELSE ' files)' END, ', ' ORDER BY module) AS context FROM k GROUP BY number")
+def modules_affected(spark, d):
+    k = F.col("l_linenumber") % 3
+    path = F.when(k == 0, "a.go").when(k == 1, "cmd/x.go").otherwise(F.concat(F.lit("internal/m"), (F.col("l_partkey") % 3).cast("string"), F.lit("/y.go")))
+    return R.modules_affected(P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), path.alias("path")))
+
+
+@query("SELECT count(*) AS assigned, count(*) FILTER (WHERE substr(o_orderpriority, 1, 1) = '1') AS p1, count(DISTINCT o_orderpriority) AS distinct, '' AS warning FROM orders")
+def priority_check(spark, d):
+    return R.priority_check(P.table(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")))
+
+
+@query("SELECT user_id % 10 AS cluster, count(*) AS n, max((event_id % 10) / 10.0)::DOUBLE AS confidence, list_sort(list_distinct(list(event_type))) AS tags FROM events GROUP BY 1")
+def merged_clusters(spark, d):
+    x = P.table(spark, d, "events").select((F.col("user_id") % 10).alias("cluster"), ((F.col("event_id") % 10) / 10.0).alias("confidence"), F.array("event_type").alias("tags"))
+    return R.merged_clusters(x)
+
+
+@query(f"WITH {OWN}, r AS (SELECT dir, author, s, row_number() OVER (PARTITION BY dir ORDER BY round(s, 9) DESC, author) AS rn FROM share) SELECT dir, string_agg(author || ' ' || CAST(round(100 * round(s, 9)) AS INTEGER) || '%', ', ' ORDER BY rn) AS contributors FROM r WHERE rn <= 3 GROUP BY dir")
+def owners_section(spark, d):
+    o = C.ownership(P.ownership_rows(spark, d), ORDERS).withColumn("share", F.round("share", 9))
+    return R.owners_section(o)
+
+
+@query("WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS signal_id FROM orders), e AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS f, CAST(l_orderkey + l_linenumber AS VARCHAR) AS t FROM lineitem WHERE l_returnflag = 'R'), k AS (SELECT * FROM e WHERE t IN (SELECT signal_id FROM s)), b AS (SELECT f AS signal_id, string_agg(t, ',' ORDER BY t) AS blocks FROM k GROUP BY 1), p AS (SELECT t AS signal_id, string_agg(f, ',' ORDER BY f) AS depends_on FROM k GROUP BY 1) SELECT signal_id, coalesce(blocks, '') AS blocks, coalesce(depends_on, '') AS depends_on FROM s LEFT JOIN b USING (signal_id) LEFT JOIN p USING (signal_id)")
+def dependency_joins(spark, d):
+    s = P.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("signal_id"))
+    kind = F.when(F.col("l_returnflag") == "R", "blocks").otherwise("relates-to")
+    e = P.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("from_id"), (F.col("l_orderkey") + F.col("l_linenumber")).cast("string").alias("to_id"), kind.alias("type"))
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return D.with_dependencies(s, e).select("signal_id", text("blocks"), text("depends_on"))
+
+
+@query("SELECT o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'github-closed-issue' WHEN o_orderstatus = 'F' THEN 'github-merged-pr' ELSE 'github-closed-pr' END AS kind, CASE WHEN o_orderkey % 3 <> 0 AND o_orderstatus <> 'F' THEN 0.2 ELSE 0.3 END::DOUBLE AS confidence FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderdate >= DATE '1998-01-01'")
+def closed_items(spark, d):
+    o = P.table(spark, d, "orders")
+    closed = F.when(F.col("o_orderkey") % 4 == 0, None).otherwise(F.col("o_orderdate").cast("timestamp"))
+    x = o.select(F.col("o_orderkey").alias("number"), (F.col("o_orderkey") % 3 != 0).alias("pull"), (F.col("o_orderstatus") == "F").alias("merged"), closed.alias("closed"))
+    return C.closed_items(x, "1998-01-01 00:00:00").drop("tags")
+
+
+@query("SELECT p_partkey, CASE WHEN n >= 1000000000 THEN printf('%.1f GB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1f MB', n / 1e6) WHEN n >= 1000 THEN printf('%.1f KB', n / 1e3) ELSE n || ' B' END AS size FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1004 WHEN 2 THEN 1000003 ELSE 1000000007 END AS n FROM part)")
+def human_size(spark, d):
+    k = F.col("p_partkey") % 4
+    n = F.col("p_size").cast("long") * F.when(k == 0, 1).when(k == 1, 1004).when(k == 2, 1000003).otherwise(1000000007)
+    return P.table(spark, d, "part").select("p_partkey", X.human_size(n).alias("size"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/c' WHEN 1 THEN '../b' WHEN 2 THEN '.' ELSE 'x/' || doc_id END AS path FROM documents")
+def clean_paths(spark, d):
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, "a/./b/../c/").when(k == 1, "a/../../b").when(k == 2, "a/b/../..").otherwise(F.concat(F.lit("./x//"), F.col("doc_id").cast("string")))
+    return P.table(spark, d, "documents").select("doc_id", X.clean_path(raw).alias("path"))
 
 
 @query("""WITH x AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE greatest(0, (epoch(TIMESTAMP '2001-08-02') - epoch(o_orderdate)) / 86400.0) END AS days FROM orders), b AS (SELECT CASE WHEN days IS NULL THEN 'unknown' WHEN days >= 365 THEN '> 1 year' WHEN days >= 90 THEN '3-12 months' WHEN days >= 28 THEN '1-3 months' WHEN days >= 7 THEN '1-4 weeks' ELSE '< 1 week' END AS bucket FROM x)
@@ -528,7 +698,7 @@ def issue_classify(spark, d):
     return C.issues(x, ORDERS)
 
 
-@query(r"""WITH t AS (SELECT DISTINCT p_name AS title FROM part), w AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{Nd}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','the','this','to','with'))) AS ws FROM t)
+@query(r"""WITH t AS (SELECT DISTINCT p_name AS title FROM part), w AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{Nd}]+'), lambda x: strlen(x) >= 2 AND x NOT IN ('a','an','the','is','it','in','of','to','and','or','for','on','at','by','with','this','that','from','as','be'))) AS ws FROM t)
  SELECT a.title AS a, b.title AS b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE, 6) AS similarity FROM w a JOIN w b ON a.title < b.title WHERE len(list_intersect(a.ws, b.ws)) > 0 AND round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE, 6) >= 0.3""")
 def jaccard_titles(spark, d):
     t = P.table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("title")).distinct()
@@ -602,13 +772,23 @@ def sarif_compare(spark, d):
  bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS s FROM b, range(1, 100000) t(i) WHERE i <= len(w) - 7), ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d))
  SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY 1, 2""")
 def benchmark_overlap(spark, d):
-    def shingles(t, key, pattern):
-        w = P.table(spark, d, t).select(key, F.filter(F.split(F.lower("text"), pattern), lambda x: x != "").alias("w"))
+    def words(t, key, pattern):
+        return P.table(spark, d, t).select(key, F.filter(F.split(F.lower("text"), pattern), lambda x: x != "").alias("w"))
+
+    def shingles(w, key, text):
         n = F.size("w") - 7
-        s = F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 8), " ")))
-        return w.select(key, F.explode(s).alias("s")).distinct()
+        at = F.when(n < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+        one = lambda i: F.array_join(F.slice("w", i, 8), " ")
+        return w.select(key, F.explode(F.transform(at, lambda i: F.struct(F.xxhash64(one(i)).alias("h"), one(i).alias("s")) if text else F.struct(F.xxhash64(one(i)).alias("h")))).alias("x")).select(key, "x.*")
+
+    # hashes decide which documents' shingles are made out as text; only those are compared and counted
+    from .plans.tables import written
 
-    return shingles("documents", "doc_id", r"\s+").join(shingles("benchmark", "item_id", " "), "s").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    b = written(shingles(words("benchmark", "item_id", " "), "item_id", True).distinct())
+    w = words("documents", "doc_id", r"\s+")
+    hit = shingles(w, "doc_id", False).join(b.select("h").distinct(), "h", "left_semi").select("doc_id").distinct()
+    own = shingles(w.join(hit, "doc_id", "left_semi"), "doc_id", True).join(b.select("h").distinct(), "h", "left_semi").distinct()
+    return own.join(b, ["h", "s"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 QUERIES = {name: f for name, f, _ in _ALL}

@@ -6,8 +6,50 @@ import re
 
 from pyspark.sql import Column
 
-# Directories and files that are never scanned.
-DEFAULT_EXCLUDES = ("vendor/**", "node_modules/**", ".git/**", "dist/**", "build/**", "target/**", "__pycache__/**", ".venv/**", "*.min.js", "*.min.css", "*.lock", "go.sum")
+# Directories and files that are not scanned; the last is this engine's own state.
+DEFAULT_EXCLUDES = (
+    "vendor/**",
+    "node_modules/**",
+    ".git/**",
+    "testdata/**",
+    "CHANGELOG*",
+    "CHANGES*",
+    "HISTORY*",
+    "NEWS*",
+    "third_party/**",
+    "3rdparty/**",
+    "extern/**",
+    "external/**",
+    "bower_components/**",
+    "wwwroot/lib/**",
+    "eval/**",
+    ".beads/**",
+    ".lodestrata/**",
+)
+# Directories of demonstrations and others where tests and owners are not expected.
+DEMO_PATHS = (
+    "examples/**",
+    "example/**",
+    "tutorials/**",
+    "tutorial/**",
+    "demos/**",
+    "demo/**",
+    "samples/**",
+    "sample/**",
+    "_examples/**",
+    "docs/**",
+    "doc/**",
+    "extras/**",
+    "packaging/**",
+    "scripts/**",
+    "tools/**",
+    "contrib/**",
+    "misc/**",
+    "build/**",
+    "deploy/**",
+    ".github/**",
+    ".ci/**",
+)
 
 
 def _piece(glob: str) -> str:
@@ -29,3 +71,7 @@ def to_regex(glob: str) -> str:
 
 def matches(path: Column, *globs: str) -> Column:
     return path.rlike("|".join(f"(?:{to_regex(g)})" for g in globs))
+
+
+def is_demo(path: Column) -> Column:
+    return matches(path, *DEMO_PATHS)
