@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import _arrays as A
 from ._cluster import fresh_name, map_arrow, met, written
-from .setjoin import bucket_links, components
+from .setjoin import SHARE, bucket_links, components
 
 SHINGLE = 5
 PERCENT = 80
@@ -133,38 +133,57 @@ def _blocks(texts: list[bytes]):
         yield lo, len(texts)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> one row a line with words: id, line, node, sigs (null if the task has signed an equal line)."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> one row a line with words: id, line, node, and for one node in SHARE its signatures."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), A.as_bytes(b.column(1))
             for lo, hi in _blocks(texts):
                 lines = Lines(texts[lo:hi])
                 if not len(lines.begins):
                     continue
-                node = lines.hashes().view(np.int64)
-                new = []
-                for k, v in enumerate(node.tolist()):
-                    if v not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(v)
-                        new.append(k)
-                sigs: list = [None] * len(node)
-                if new:
-                    bands = band_hashes(*lines.shingles(np.array(new))).view(np.int64)
-                    for k, s in zip(new, bands, strict=True):
-                        sigs[k] = s
+                h = lines.hashes()
+                some = np.flatnonzero(h % np.uint64(SHARE) == 0)
+                sigs: list = [None] * len(h)
+                if len(some):
+                    for k, x in zip(some.tolist(), band_hashes(*lines.shingles(some)).view(np.int64), strict=True):
+                        sigs[k] = x
                 own = np.array(ids[lo:hi], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own[lines.owner]), pa.array(lines.number.astype(np.int64)), pa.array(node), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "line", "node", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[lines.owner]), pa.array(lines.number.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "line", "node", "sigs"])
 
     return docs.where("id is not null and text is not null").mapInArrow(run, "id long, line long, node long, sigs array<long>")
 
 
+def _signed(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> a row for each signature of each line: sig, id (the line's node); a task signs equal lines once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for b in batches:
+            texts = A.as_bytes(b.column(0))
+            for lo, hi in _blocks(texts):
+                lines = Lines(texts[lo:hi])
+                if not len(lines.begins):
+                    continue
+                node = lines.hashes().view(np.int64)
+                _, first = np.unique(node, return_index=True)
+                new = np.array([k for k in first.tolist() if int(node[k]) not in seen], np.int64)
+                if not len(new):
+                    continue
+                if len(seen) + len(new) > REMEMBERED:
+                    seen.clear()
+                seen.update(node[new].tolist())
+                sigs = band_hashes(*lines.shingles(new)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.ravel()), pa.array(np.repeat(node[new], BANDS))], names=["sig", "id"])
+
+    return docs.where("id is not null and text is not null").select("text").mapInArrow(run, "sig long, id long")
+
+
 def _texts_of(docs: DataFrame, lines: DataFrame):
     """The texts of the asked lines, taken from the first document that holds each."""
 
@@ -207,9 +226,9 @@ def elements(column) -> list[np.ndarray]:
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, line) of the lines that go; lines are numbered from 0."""
     own = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    lines = written(_signed(own), codec="lz4")
-    buckets = lines.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("node").alias("id"))
-    links = bucket_links(buckets, _texts_of(own, lines), elements, percent)
+    lines = written(_hashed(own))
+    some = lines.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("node").alias("id")).distinct()
+    links = bucket_links(_signed(own), _texts_of(own, lines), elements, percent, some=some)
     comp = components(links).withColumnRenamed("id", "node")
     placed = lines.select("id", "line", "node").join(comp, "node", "left").select("id", "line", F.coalesce("component", "node").alias("c"))
     first = placed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")

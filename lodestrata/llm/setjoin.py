@@ -38,9 +38,11 @@ FAMILY = 4096
 HEAVY, SHARE = 2048, 64
 
 
-def met_signatures(rows: DataFrame, **more: Column) -> DataFrame:
-    """rows(sig, id, ...): those whose signature has two ids at least, with n, leader (the smallest id) and more aggregates."""
-    seen = written(rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARE)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+def met_signatures(rows: DataFrame, some: DataFrame | None = None, **more: Column) -> DataFrame:
+    """rows(sig, id, ...): those whose signature has two ids at least, with n, leader (the smallest id) and more aggregates. some: the rows of one in SHARE ids, where they are at hand."""
+    if some is None:
+        some = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARE)) == 0)
+    seen = written(some.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = seen.agg(F.sum("n")).first()[0] or 0
     hot = written(seen.where(F.col("n") > max(16.0, total / HEAVY)).select("sig"))
     discard(seen)
@@ -137,20 +139,21 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
     return out
 
 
-def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable, percent: int, extra: DataFrame | None = None) -> DataFrame:
+def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable, percent: int, extra: DataFrame | None = None, some: DataFrame | None = None) -> DataFrame:
     """buckets(sig, id long) -> links(a, b) whose components are those of all similar pairs within buckets.
 
     With a column tag, the signatures of one id and tag are a group of which similar ids
     share more than tag div 2; that many of the group's most frequent ones are left out.
     fetch: from ids(id) to (id, items); elements: from an Arrow column of items to arrays of
-    distinct elements. extra: links known beforehand.
+    distinct elements. extra: links known beforehand. some: the buckets' rows of one in SHARE ids.
     """
     if "tag" in buckets.columns:
-        common = met_signatures(buckets)
+        common = met_signatures(buckets, some)
         order = Window.partitionBy("id", "tag").orderBy(F.col("n").desc(), "sig")
+        some = None
         buckets = written(common.withColumn("nth", F.row_number().over(order)).where("nth > tag div 2").select("sig", "id"))
     # buckets of the same ids are one: hashes of the ids stand for the bucket from here on
-    grouped = met_signatures(buckets, h1=F.bit_xor(F.xxhash64("id")), h2=F.try_sum(F.shiftright(F.xxhash64("id", F.lit(7)), 24)))
+    grouped = met_signatures(buckets, some, h1=F.bit_xor(F.xxhash64("id")), h2=F.try_sum(F.shiftright(F.xxhash64("id", F.lit(7)), 24)))
     multi = written(grouped.select(F.xxhash64("n", "h1", "h2").alias("sig"), "id", "leader").distinct())
     star = written(multi.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     sets = written(fetch(star.select(F.explode(F.array("a", "b")).alias("id")).distinct()), codec="lz4")
