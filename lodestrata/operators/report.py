@@ -123,3 +123,18 @@ def owners_section(owners: DataFrame, most: int = 3) -> DataFrame:
     label = F.concat("author", F.lit(" "), F.round(100 * F.col("share")).cast("int").cast("string"), F.lit("%"))
     g = x.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("top"))
     return g.select("dir", F.array_join(F.transform("top", lambda t: t["label"]), ", ").alias("contributors"))
+
+
+def hotspot_count(complexity: DataFrame, churn: DataFrame, least_score: float = 6.0, least_churn: int = 5) -> DataFrame:
+    """n: complex functions in files that change often."""
+    often = churn.where(F.col("changes") >= least_churn).select("path").distinct()
+    return complexity.where(F.col("score") >= least_score).join(often, "path", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tagged_weeks(commits: DataFrame, tags: DataFrame) -> DataFrame:
+    """commits(sha, ts), tags(name, sha, ts): week, commits, tagged (commits that bear a tag), tags of the week."""
+    week = F.date_trunc("week", F.col("ts")).alias("week")
+    bears = tags.select(F.substring("sha", 1, 8).alias("short")).distinct().withColumn("hit", F.lit(1))
+    c = commits.select(week, F.substring("sha", 1, 8).alias("short")).join(bears, "short", "left").groupBy("week").agg(F.count(F.lit(1)).alias("commits"), F.count("hit").alias("tagged"))
+    t = tags.select(week, "name").groupBy("week").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("tags"))
+    return c.join(t, "week", "left").select("week", "commits", "tagged", F.coalesce("tags", F.lit("")).alias("tags"))

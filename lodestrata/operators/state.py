@@ -50,6 +50,12 @@ def baseline_status(baseline: DataFrame, now: str) -> DataFrame:
     return baseline.groupBy("reason").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(gone, F.lit(False))).alias("expired"), F.min("suppressed_at").alias("oldest"), F.max("suppressed_at").alias("newest"))
 
 
+def listed(baseline: DataFrame, now: str, reason: str | None = None, *, expired_only: bool = False) -> DataFrame:
+    """The suppressions of one reason, or of any; with expired_only those that ran out."""
+    x = baseline if reason is None else baseline.where(F.col("reason") == reason)
+    return x.where(F.col("expires_at") < F.lit(now).cast("timestamp")) if expired_only else x
+
+
 def beyond_backlog(signals: DataFrame, backlog: DataFrame) -> DataFrame:
     """Not in backlog(id, title) by id, by the hash in ids that begin with str-, nor by title."""
     ids = backlog.select(F.regexp_replace("id", "^str-", "").alias("signal_id")).distinct()

@@ -663,6 +663,26 @@ def backlog_dedup(spark, d):
     return D.beyond_backlog(p.select("p_partkey", h.alias("signal_id"), F.col("p_name").alias("title")), b).select("p_partkey", "signal_id")
 
 
+@query("SELECT doc_id AS signal_id FROM labels WHERE toxic = 1 AND doc_id % 3 = 0")
+def suppression_list(spark, d):
+    return D.listed(_baseline(spark, d), NOW, "won't fix", expired_only=True).select("signal_id")
+
+
+@query(f"WITH {COMPLEX}, {CHURN}, c2 AS (SELECT 'src' || (CAST(split_part(path, '/', 2) AS INTEGER) % 20) || '/' || split_part(path, '/', 2) || '.md' AS path, CAST(sum(changes) AS BIGINT) AS changes FROM churn GROUP BY 1) SELECT count(*) AS n FROM cx JOIN c2 USING (path) WHERE changes >= 5")
+def hotspot_count(spark, d):
+    c = P.touched_documents(spark, d).where("ts > timestamp'2024-01-31' - interval 90 days").groupBy("path").agg(F.count(F.lit(1)).alias("changes"))
+    return R.hotspot_count(_complexity(spark, d), c)
+
+
+@query("""WITH c AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS sha, ts FROM events), t AS (SELECT 'v' || event_id AS name, substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS short, ts FROM events WHERE event_id % 500 = 0),
+ w AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS commits, count(*) FILTER (WHERE substr(sha, 1, 8) IN (SELECT short FROM t)) AS tagged FROM c GROUP BY 1), g AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, string_agg(name, ',' ORDER BY name) AS tags FROM t GROUP BY 1)
+ SELECT week, commits, tagged, coalesce(tags, '') AS tags FROM w LEFT JOIN g USING (week)""")
+def tagged_weeks(spark, d):
+    e = P.table(spark, d, "events").select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), "ts")
+    tags = e.where("event_id % 500 = 0").select(F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("name"), "sha", "ts")
+    return R.tagged_weeks(e.select("sha", "ts"), tags).withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
 @query("SELECT regexp_extract(replace(p_brand, '#', '-'), '^([A-Za-z]+)-', 1) AS prefix, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, prefix LIMIT 1")
 def conventions(spark, d):
     return R.conventions(P.table(spark, d, "part").select(F.regexp_replace("p_brand", "#", "-").alias("id")))

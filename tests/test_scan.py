@@ -160,3 +160,22 @@ def test_leader_groups_are_led(spark):
 
     rows = spark.createDataFrame([("p", 1, "fix the login page"), ("p", 2, "fix login page"), ("p", 3, "other words here"), ("q", 4, "fix login page")], "part string, ord long, title string")
     assert {(r.ord, r.leader) for r in M.leader_groups(rows).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_project_files(spark):
+    from lodestrata.operators.scan import lines_of
+    from lodestrata.sources import project as J
+
+    files = spark.createDataFrame([("go.mod", "module m\n\ngo 1.22\n"), ("sub/Cargo.toml", ""), ("Makefile", "build: a\nX := 1\ntest:\n\tgo test\n"), (".gitattributes", "# c\n*.bin filter=lfs diff=lfs\nassets/*.png filter=lfs\n*.txt text\n")], "path string, content string")
+    assert [(r.path, r.tool, r.version) for r in J.tools(files).orderBy("path").collect()] == [("Makefile", "Make", ""), ("go.mod", "Go", "1.22")]
+    assert {r.target for r in J.make_targets(files).collect()} == {"build", "test"}
+    globs = [r.pattern for r in J.stored_elsewhere(lines_of(files)).collect()]
+    assert set(globs) == {"*.bin", "assets/*.png"}
+    paths = spark.createDataFrame([("x/a.bin",), ("assets/b.png",), ("assets/c/d.png",), ("e.txt",)], "path string")
+    assert {r.path for r in J.not_stored_elsewhere(paths, globs).collect()} == {"assets/c/d.png", "e.txt"}
+    refs = spark.createDataFrame([("refs/heads/fix/a\t2024-01-02T03:04:05+00:00\tAda",), ("refs/remotes/o/x\t2024-01-02T03:04:05+00:00\tAda",)], "value string")
+    assert [(r.name, r.author) for r in J.branch_refs(refs).collect()] == [("fix/a", "Ada")]
+    log = spark.createDataFrame([("a" * 40 + "\tAda\t2024-01-02T03:04:05+00:00\t" + "b" * 40 + " " + "c" * 40 + "\tMerge\tx",)], "value string")
+    r = J.commit_log(log).first()
+    assert (r.author, r.is_merge, r.subject) == ("Ada", True, "Merge\tx")
+    assert J.redacted("see tok-12345 and abc", {"GH_TOKEN": "tok-12345", "GITHUB_TOKEN": "abc"}) == "see [REDACTED] and abc"
