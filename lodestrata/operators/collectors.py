@@ -126,6 +126,12 @@ def lottery_risk(owners: DataFrame, digits: int = 9) -> DataFrame:
     return g.select("dir", F.col("risk").cast("long").alias("risk"), "authors", F.when(F.col("risk") <= 1, 0.8).when(F.col("risk") == 2, 0.5).otherwise(0.3).alias("confidence"), F.when(F.col("risk") <= 1, "CRITICAL").when(F.col("risk") == 2, "WARNING").otherwise("ok").alias("level"))
 
 
+def review_rows(reviews: DataFrame, changed: DataFrame) -> DataFrame:
+    """reviews(number, reviewer), changed(number, path): dir, reviewer: a row for each directory that a reviewed change touches, once a change and reviewer."""
+    dirs = changed.select("number", folder_of(F.col("path")).alias("dir")).distinct()
+    return reviews.select("number", "reviewer").distinct().join(dirs, "number").select("dir", "reviewer")
+
+
 def review_concentration(reviews: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
     """reviews(dir, reviewer): directories where one reviewer does more than the share."""
     g = reviews.groupBy("dir", "reviewer").agg(F.count(F.lit(1)).alias("n"))
@@ -140,15 +146,16 @@ def longest_prefix(paths: DataFrame, dirs: DataFrame) -> DataFrame:
     return paths.join(hit, "path", "left").select("path", F.coalesce("owner", F.lit(".")).alias("owner"))
 
 
-def hygiene(lines: DataFrame, files: DataFrame, secrets: Mapping[str, tuple[str, float]] = SECRETS, least_entropy: float = 4.0) -> DataFrame:
-    """One pass over the lines: conflict markers (first of a file), secrets (first form of a line), entropy of assigned literals, mixed line ends."""
+def hygiene(lines: DataFrame, files: DataFrame, secrets: Mapping[str, tuple[str, float]] = SECRETS, least_entropy: float = 4.0, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """One pass over the lines: conflict markers (first of a file), secrets (first form of a line), entropy of assigned literals, mixed line ends. Lines that an allowed pattern matches hold no secrets."""
+    fine = F.col("text").rlike("|".join(f"(?:{p})" for p in allowed)) if allowed else F.lit(False)
     name = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, (p, _) in secrets.items()])
     score = F.coalesce(*[F.when(F.col("secret") == n, c) for n, (_, c) in secrets.items()])
-    x = lines.withColumn("secret", name).withColumn("conflict", F.col("text").rlike(r"^(?:<{7}|={7}|>{7})\s"))
+    x = lines.withColumn("secret", F.when(~fine, name)).withColumn("fine", fine).withColumn("conflict", F.col("text").rlike(r"^(?:<{7}|={7}|>{7})\s"))
     found = x.where(F.col("secret").isNotNull()).select(*signal("githygiene", "committed-secret", F.col("path"), F.col("line"), F.concat(F.lit("Possible "), F.col("secret")), score))
     first = x.where("conflict").groupBy("path").agg(F.min("line").alias("line")).select(*signal("githygiene", "merge-conflict-marker", F.col("path"), F.col("line"), "Merge conflict marker", 0.9))
     literal = F.regexp_extract("text", r"(?i)(?:key|token|secret|password)[a-z_]*\s*[:=]\s*[\"']([^\"']{16,})[\"']", 1)
-    odd = x.where(F.col("secret").isNull()).withColumn("literal", literal).where((F.col("literal") != "") & (entropy(F.col("literal")) >= least_entropy))
+    odd = x.where(F.col("secret").isNull() & ~F.col("fine")).withColumn("literal", literal).where((F.col("literal") != "") & (entropy(F.col("literal")) >= least_entropy))
     odd = odd.select(*signal("githygiene", "committed-secret", F.col("path"), F.col("line"), "High-entropy literal", 0.4))
     crlf = F.regexp_count("content", F.lit("\r\n"))
     mixed = files.where((crlf >= 2) & (F.regexp_count("content", F.lit("\n")) - crlf >= 2)).select(*signal("githygiene", "mixed-line-endings", F.col("path"), 0, "Mixed line endings", 0.7))
@@ -220,7 +227,10 @@ def broken_links(links: DataFrame, existing: DataFrame) -> DataFrame:
     inner = links.where(~F.col("target").rlike(r"^(?:https?://|mailto:)") & (plain != ""))
     # targets are seen from the document's directory, unless doc isn't a path
     inner = inner.withColumn("path", joined_path(folder_of(F.col("doc")), plain) if isinstance(links.schema["doc"].dataType, T.StringType) else plain)
-    return inner.join(existing.select("path").distinct(), "path", "left_anti").select("doc", "target", F.lit(0.6).alias("confidence"))
+    there = existing.select("path")
+    if isinstance(links.schema["doc"].dataType, T.StringType):  # directories count, too
+        there = there.select(F.explode(F.concat(F.array("path", F.lit(".")), ancestors(F.col("path")))).alias("path"))
+    return inner.join(there.distinct(), "path", "left_anti").select("doc", "target", F.lit(0.6).alias("confidence"))
 
 
 def stale_docs(docs: DataFrame) -> DataFrame:

@@ -28,25 +28,29 @@ def similar_titles(titles: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def leader_groups(rows: DataFrame, least: float = 0.7) -> DataFrame:
-    """rows(part, ord, title): each row joins the first leader of its part that is alike, or leads. Order decides, so a part is one task."""
+    """rows(part, ord, title), perhaps dir: each row joins the first leader of its part that is alike or in the same directory (not the top one), or leads.
+
+    Order decides, so a part is one task; its work grows with the rows times the leaders.
+    """
+    columns = ["part", "ord", "title", "dir"] if "dir" in rows.columns else ["part", "ord", "title"]
 
     def words(t: str) -> frozenset[str]:
         return frozenset(w for w in re.split(r"[\W_]+", (t or "").lower()) if len(w.encode()) >= 2 and w not in STOP_WORDS)
 
     def assign(f):
         f = f.sort_values("ord")
-        leaders: list[tuple[int, frozenset[str]]] = []
+        leaders: list[tuple[int, str, frozenset[str]]] = []
         out = []
-        for o, t in zip(f["ord"], f["title"], strict=True):
-            w = words(t)
-            hit = next((k for k, v in leaders if (w or v) and len(w & v) / len(w | v) >= least), None)
+        for o, t, d in zip(f["ord"], f["title"], f["dir"] if "dir" in f else [None] * len(f), strict=True):
+            w, d = words(t), d if d and d != "." else None
+            hit = next((k for k, e, v in leaders if (d is not None and e == d) or ((w or v) and len(w & v) / len(w | v) >= least)), None)
             if hit is None:
-                leaders.append((o, w))
+                leaders.append((o, d, w))
                 hit = o
             out.append(hit)
         return f.assign(leader=out)[["part", "ord", "leader"]]
 
-    return rows.groupBy("part").applyInPandas(assign, "part string, ord long, leader long")
+    return rows.select(*columns).groupBy("part").applyInPandas(assign, "part string, ord long, leader long")
 
 
 def closest(values: DataFrame, allowed: list[str], most: int = 3) -> DataFrame:

@@ -218,6 +218,12 @@ def review_concentration(spark, d):
     return C.review_concentration(x, 3, 0.1)
 
 
+@query("WITH r AS (SELECT DISTINCT l_orderkey AS number, l_suppkey % 5 AS reviewer FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS number, CASE WHEN l_linenumber = 1 THEN '.' ELSE 'm' || (l_partkey % 3) END AS dir FROM lineitem) SELECT dir, CAST(reviewer AS VARCHAR) AS reviewer, count(*) AS n FROM r JOIN c USING (number) GROUP BY 1, 2")
+def review_participation(spark, d):
+    x = P.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), (F.col("l_suppkey") % 5).cast("string").alias("reviewer"), F.when(F.col("l_linenumber") == 1, "a.go").otherwise(F.concat(F.lit("m"), (F.col("l_partkey") % 3).cast("string"), F.lit("/b.go"))).alias("path"))
+    return C.review_rows(x, x).groupBy("dir", "reviewer").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("WITH u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS n FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, 'Contributor ' || CASE WHEN n < 26 THEN chr(CAST(65 + n AS INTEGER)) ELSE CASE WHEN n < 702 THEN '' WHEN n < 18278 THEN chr(CAST(65 + (n - 702) // 676 AS INTEGER)) ELSE chr(CAST(65 + (n - 18278) // 17576 AS INTEGER)) || chr(CAST(65 + (n - 18278) // 676 % 26 AS INTEGER)) END || CASE WHEN n < 702 THEN chr(CAST(64 + n // 26 AS INTEGER)) WHEN n < 18278 THEN chr(CAST(65 + (n - 702) // 26 % 26 AS INTEGER)) ELSE chr(CAST(65 + (n - 18278) // 26 % 26 AS INTEGER)) END || chr(CAST(65 + n % 26 AS INTEGER)) END AS label FROM u")
 def anonymise_authors(spark, d):
     from pyspark.sql import Window

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import ancestors
 from .globs import matches
 
 # Files at the top that tell a tool, its name and the commands that go with it.
@@ -48,6 +49,14 @@ def make_targets(files: DataFrame) -> DataFrame:
     return x.distinct()
 
 
+def workspace_folders(files: DataFrame, globs: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
+    """dir: the directories of files(path) that a workspace's globs name; ** is any depth."""
+    above = files.select(F.explode(ancestors(F.col("path"))).alias("dir")).distinct()
+    form = lambda g: "^" + re.sub(r"\\\*\\\*", ".*", re.escape(g.strip("/"))).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
+    any_of = lambda gs: F.col("dir").rlike("|".join(form(g) for g in gs)) if gs else F.lit(False)
+    return above.where(any_of(globs) & ~any_of(excluded))
+
+
 def stored_elsewhere(lines: DataFrame) -> DataFrame:
     """lines(path, line, text): pattern: the globs that .gitattributes at the top sends to large-file storage."""
     text = F.trim("text")

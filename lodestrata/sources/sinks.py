@@ -80,3 +80,22 @@ def html(signals: DataFrame, title: str = "Signals") -> str:
     rows = signals.orderBy("source", "file_path", "line", "title").toLocalIterator()
     body = "".join(f"<tr><td>{escape(r['kind'])}</td><td>{escape(r['file_path'] or '')}:{r['line']}</td><td>{escape(r['title'])}</td><td>{r['confidence']:.2f}</td></tr>" for r in rows)
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{head}</table><table>{body}</table></body></html>"
+
+
+def report_text(sections: dict[str, DataFrame], most: int = 50) -> str:
+    """Sections as aligned text tables; a section is a report's, of few rows, of which ``most`` are shown and the rest counted."""
+    out = []
+    for title, df in sections.items():
+        rows = [[("" if v is None else str(v)) for v in r] for r in df.limit(most + 1).collect()]
+        more = len(rows) > most
+        table = [list(df.columns), *rows[:most]]
+        widths = [max(len(r[k]) for r in table) for k in range(len(df.columns))]
+        lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in table]
+        out.append("\n".join([title, "-" * len(title), *(lines if rows else ["nothing found"]), *(["and more"] if more else [])]))
+    return "\n\n".join(out) + "\n"
+
+
+def report_json(sections: dict[str, DataFrame], most: int = 50) -> str:
+    """Sections as JSON: status ok with rows, or skipped where there are none."""
+    rows = {t: [json.loads(x) for x in (r[0] for r in df.limit(most).select(F.to_json(F.struct(*df.columns))).collect())] for t, df in sections.items()}
+    return json.dumps({"sections": [{"name": t, "status": "ok" if r else "skipped", "rows": r} for t, r in rows.items()]}, ensure_ascii=False, indent=2)

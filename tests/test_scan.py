@@ -179,3 +179,41 @@ def test_project_files(spark):
     r = J.commit_log(log).first()
     assert (r.author, r.is_merge, r.subject) == ("Ada", True, "Merge\tx")
     assert J.redacted("see tok-12345 and abc", {"GH_TOKEN": "tok-12345", "GITHUB_TOKEN": "abc"}) == "see [REDACTED] and abc"
+
+
+def test_groups_by_directory(spark):
+    from lodestrata.operators import similarity as M
+
+    rows = spark.createDataFrame([("p", 1, "one thing", "a"), ("p", 2, "something else", "a"), ("p", 3, "third matter", "."), ("p", 4, "fourth item", ".")], "part string, ord long, title string, dir string")
+    assert {(r.ord, r.leader) for r in M.leader_groups(rows).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_allowed_lines_hold_no_secrets(spark):
+    from lodestrata.operators import collectors as C
+
+    text = ['password = "hunter2hunter2"', 'password = "example-password"']
+    lines = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(text)], "path string, line int, text string")
+    files = spark.createDataFrame([("a", "x")], "path string, content string")
+    assert [r.line for r in C.hygiene(lines, files, allowed=("example-",)).collect()] == [1]
+
+
+def test_links_to_directories(spark):
+    from lodestrata.operators import collectors as C
+
+    links = spark.createDataFrame([("docs/a.md", "../src"), ("docs/a.md", "../lib")], "doc string, target string")
+    assert [r.target for r in C.broken_links(links, spark.createDataFrame([("src/x/y.go",)], "path string")).collect()] == ["../lib"]
+
+
+def test_workspaces_and_reports(spark):
+    import json
+
+    from lodestrata.sources import project as J
+    from lodestrata.sources import sinks as K
+
+    files = spark.createDataFrame([("packages/a/x.js",), ("packages/b/c/y.js",), ("tools/z.js",)], "path string")
+    assert {r.dir for r in J.workspace_folders(files, ["packages/*"], ["packages/b"]).collect()} == {"packages/a"}
+    assert {r.dir for r in J.workspace_folders(files, ["packages/**"]).collect()} == {"packages/a", "packages/b", "packages/b/c"}
+    some = {"Files": files, "None": files.where("1 = 0")}
+    text = K.report_text(some, most=2)
+    assert "packages/a/x.js" in text and "and more" in text and "nothing found" in text
+    assert [x["status"] for x in json.loads(K.report_json(some))["sections"]] == ["ok", "skipped"]
