@@ -243,6 +243,17 @@ def hygiene_secrets(spark, d):
     return x.where("kind = 'committed-secret'").select("file_path", "line", "title")
 
 
+@query(rf"""WITH {LINES}, s AS (SELECT path, line, text, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(text, 'gh[ps]_[A-Za-z0-9_]{{36,}}') OR regexp_matches(text, '(?i)(?:api[_-]?key|secret[_-]?key|password)\s*[:=]\s*["''][^"'']{{8,}}') THEN 1 END AS secret FROM lines),
+ lit AS (SELECT path, line, regexp_extract(text, '(?i)(?:key|token|secret|password)[a-z_]*\s*[:=]\s*["'']([^"'']{{16,}})["'']', 1) AS v FROM s WHERE secret IS NULL), ch AS (SELECT path, line, v, unnest(string_split(v, '')) AS c FROM lit WHERE v <> ''), cnt AS (SELECT path, line, v, c, count(*) AS m FROM ch GROUP BY ALL),
+ ent AS (SELECT path, line FROM cnt GROUP BY path, line, v HAVING round(-sum(m / length(v)::DOUBLE * log2(m / length(v)::DOUBLE)), 9) >= 3.0),
+ c AS (SELECT path FROM lines WHERE regexp_matches(text, '^(<{{7}}|={{7}}|>{{7}})\s') GROUP BY path), m AS (SELECT doc_id FROM documents WHERE len(string_split(text, chr(13) || chr(10))) > 2 AND len(string_split(text, chr(10))) - len(string_split(text, chr(13) || chr(10))) >= 2),
+ n AS (SELECT 'committed-secret' AS kind, false AS by_entropy, count(*) AS n FROM s WHERE secret IS NOT NULL UNION ALL SELECT 'committed-secret', true, count(*) FROM ent UNION ALL SELECT 'merge-conflict-marker', false, count(*) FROM c UNION ALL SELECT 'mixed-line-endings', false, count(*) FROM m) SELECT * FROM n WHERE n > 0""")
+def hygiene_counts(spark, d):
+    f = P.files(spark, d)
+    x = C.hygiene(P.lines(f), f, least_entropy=3.0)
+    return x.groupBy("kind", F.col("title").startswith("High-entropy").alias("by_entropy")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(r"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(l, '\s+')) AS token FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)), k AS (SELECT token, length(token) AS n FROM t WHERE length(token) >= 24),
  c AS (SELECT token, n, unnest(string_split(token, '')) AS ch FROM k), g AS (SELECT token, n, ch, count(*) AS m FROM c GROUP BY ALL) SELECT token, round(-sum(m / n::DOUBLE * log2(m / n::DOUBLE)), 6) AS entropy FROM g GROUP BY token""")
 def entropy_tokens(spark, d):
@@ -320,6 +331,12 @@ NORM = f"""{LINES}, n AS (SELECT path, line, trim(text, ' ') AS text FROM lines
  w AS (SELECT path, line AS start, concat_ws(chr(10), text, lead(text, 1) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o) AS win, lead(text, 3) OVER o AS l FROM n WINDOW o AS (PARTITION BY path ORDER BY line)), win AS (SELECT path, start, win FROM w WHERE l IS NOT NULL)"""
 
 
+@query(f"WITH {NORM} SELECT path, start, sha256(win) AS window_id FROM win")
+def clone_windows(spark, d):
+    w = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4)
+    return w.select("path", "start", F.sha2("window", 256).alias("window_id"))
+
+
 @query(f"WITH {NORM} SELECT sha256(win) AS window_id, count(*) AS locations, min(path) AS path, round(0.35 + 0.10 * (4 - 6) / 8.0 + CASE WHEN count(*) >= 4 THEN 0.10 WHEN count(*) >= 3 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS confidence FROM win GROUP BY win HAVING count(*) >= 2")
 def exact_clones(spark, d):
     w = C.clone_windows(C.normalised_lines(P.lines(P.files(spark, d))), 4)
