@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._cluster import discard, met, written
 
 #: Members of a bucket that one task of the block comparison takes from each side.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: Ids of a family that is compared as a whole.
 FAMILY = 4096
 
@@ -113,14 +113,14 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
     inter = np.zeros((n, n), np.float32)
     if len(at):
         _, at = np.unique(at, return_inverse=True)
-        width = 8192
+        width = 2048
         for lo in range(0, int(at.max()) + 1, width):
             part = (at >= lo) & (at < lo + width)
             m = np.zeros((n, width), np.float32)
             m[owner[part], at[part] - lo] = 1
             inter += m @ m.T
-    inter = inter.astype(np.int64)
-    ok = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
+    # 100 inter >= percent (a + b - inter); sums of counts are exact as doubles
+    ok = (100 + percent) * inter.astype(float) >= percent * (sizes[:, None] + sizes[None, :]).astype(float)
     i, j = np.nonzero(np.triu(ok & (comp[:, None] != comp[None, :]), 1))
     parent = {c: c for c in comp.tolist()}
 
