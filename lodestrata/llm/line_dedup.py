@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _arrays as A
-from ._cluster import fresh_name, map_arrow, met, written
-from .setjoin import SHARE, bucket_links, components
+from ._cluster import discard, fresh_name, map_arrow, met, partitions, written
+from .setjoin import bucket_links, components
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 28, 6
 REMEMBERED = 300_000
 #: Bytes of documents taken at a time, and cells of a matrix of shingles.
-BLOCK, MATRIX = 1 << 21, 1 << 16
+BLOCK, MATRIX = 1 << 18, 1 << 17
+#: Shingles signed at a time, lines whose signatures are dealt at a time, rows of a piece of them, and bits of a signature within its bucket.
+SIGNED, AT_ONCE, PIECE, LOW = 1 << 21, 75_000, 1 << 13, 40
 #: Minimum hashes; each is a row of two bands, once with its neighbours and once with those of other groups.
 HASHES = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
@@ -84,10 +86,15 @@ class Lines:
         at = np.repeat(b - first, size) + np.arange(size.sum())
         h = np.zeros(len(self.code), np.uint64)
         n = len(self.code) - SHINGLE + 1
-        if n > 0:
-            for k in range(SHINGLE):
-                h[:n] *= np.uint64(0xD6E8FEB86659FD93)
-                h[:n] += self.code[k : k + n]
+        if n > 0:  # a polynomial in the five code points: of two pairs and one
+            by = np.uint64(0xD6E8FEB86659FD93)
+            code = self.code.astype(np.uint64)
+            two = code[:-1] * by
+            two += code[1:]
+            np.multiply(two[:n], np.uint64(int(by) ** 2 % 2**64), out=h[:n])
+            h[:n] += two[2 : n + 2]
+            h[:n] *= by
+            h[:n] += code[4:]
         out = h[at]
         short = np.flatnonzero(e - b < SHINGLE)
         if len(short):
@@ -96,28 +103,32 @@ class Lines:
 
 
 def band_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row a line of BANDS signatures, from its shingles' hashes. Lines of about one length are handled as a matrix."""
-    parts = [(h >> np.uint64(16 * k)).astype(np.uint16) for k in range(4)]
+    """One row a line of BANDS signatures, from its shingles' hashes. Lines of about one length are handled as a matrix, a line a column."""
     size = np.diff(np.append(first, len(h)))
     order = np.argsort(size, kind="stable")
     out = np.zeros((len(first), BANDS), np.uint64)
     at = 0
     while at < len(order):
-        rows = max(1, MATRIX // int(size[order[at]]))
+        width = int(size[order[at]])
+        rows = max(1, MATRIX // width, min(256, 4 * MATRIX // width))
         which = order[at : at + rows]
-        while len(which) > 1 and (size[which[-1]] > 2 * size[which[0]] or size[which[-1]] * len(which) > 2 * MATRIX):
+        while len(which) > 1 and (size[which[-1]] > 2 * size[which[0]] or size[which[-1]] * len(which) > 8 * MATRIX):
             which = which[: (len(which) + 1) // 2]
         at += len(which)
         width = int(size[which[-1]])
-        cells = first[which][:, None] + np.minimum(np.arange(width), size[which][:, None] - 1)
-        mats = [p[cells] for p in parts]
-        lows = np.empty((len(which), HASHES), np.uint64)
+        axis = 0 if len(which) >= 64 else 1  # few long lines are rows
+        cells = np.minimum(np.arange(width)[:, None], size[which] - 1) + first[which]
+        values = h[cells if axis == 0 else np.ascontiguousarray(cells.T)].view(np.uint16)
+        mats = [np.ascontiguousarray(values[:, k::4]) for k in range(4)]
+        lows, now = np.empty((HASHES, len(which)), np.uint64), np.empty_like(mats[0])
         for i, (k, c) in enumerate(zip(MULTIPLIERS, SHIFTS, strict=True)):
-            lows[:, i] = ((mats[i % 4] ^ c) * k).min(axis=1)
-        bands = np.zeros((len(which), BANDS), np.uint64)
+            np.bitwise_xor(mats[i % 4], c, out=now)
+            np.multiply(now, k, out=now)
+            lows[i] = now.min(axis=axis)
+        bands = np.zeros((BANDS, len(which)), np.uint64)
         for t in range(ROWS):
-            bands = bands * np.uint64(0xD6E8FEB86659FD93) + lows[:, BAND_ROWS[:, t]]
-        out[which] = bands
+            bands = bands * np.uint64(0xD6E8FEB86659FD93) + lows[BAND_ROWS[:, t]]
+        out[which] = bands.T
     return A.mix64(out + BAND_TAGS)
 
 
@@ -134,7 +145,7 @@ def _blocks(texts: list[bytes]):
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> one row a line with words: id, line, node, and for one node in SHARE its signatures."""
+    """docs(id, text) -> one row a line with words: id, line, node."""
 
     def run(batches):
         import pyarrow as pa
@@ -143,45 +154,126 @@ def _hashed(docs: DataFrame) -> DataFrame:
             ids, texts = b.column(0).to_pylist(), A.as_bytes(b.column(1))
             for lo, hi in _blocks(texts):
                 lines = Lines(texts[lo:hi])
-                if not len(lines.begins):
-                    continue
-                h = lines.hashes()
-                some = np.flatnonzero(h % np.uint64(SHARE) == 0)
-                sigs: list = [None] * len(h)
-                if len(some):
-                    for k, x in zip(some.tolist(), band_hashes(*lines.shingles(some)).view(np.int64), strict=True):
-                        sigs[k] = x
                 own = np.array(ids[lo:hi], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own[lines.owner]), pa.array(lines.number.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "line", "node", "sigs"])
-
-    return docs.where("id is not null and text is not null").mapInArrow(run, "id long, line long, node long, sigs array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(own[lines.owner]), pa.array(lines.number.astype(np.int64)), pa.array(lines.hashes().view(np.int64))], names=["id", "line", "node"])
+
+    return docs.where("id is not null and text is not null").mapInArrow(run, "id long, line long, node long")
+
+
+def spread(sigs: np.ndarray, nodes: np.ndarray, buckets: int):
+    """Signatures of lines -> pieces (bucket, bytes) of at most PIECE rows, for gathered(), by ranges of signatures.
+
+    A signature that several of these lines have goes to its bucket with one of them only, and with all of them
+    to a bucket below 0, whichever takes it: no bucket has a signature more often than there are calls.
+    """
+    order = np.argsort(sigs)
+    s, node = sigs[order], nodes[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    alone = new & np.append(new[1:], True)
+    bucket = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    name = (bucket << np.uint64(LOW)) | (s & np.uint64((1 << LOW) - 1))
+    both, ids = name[~alone], node[~alone]
+    for k, lo in enumerate(range(0, len(both), PIECE)):
+        yield -1 - (int(both[lo]) + k) % buckets, both[lo : lo + PIECE].tobytes() + ids[lo : lo + PIECE].tobytes()
+    bucket, name, node = bucket[new].astype(np.int64), name[new], node[new]
+    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        for lo in range(int(ends[k]), int(ends[k + 1]), PIECE):
+            hi = min(lo + PIECE, int(ends[k + 1]))
+            x = name[lo:hi]
+            yield k, x.astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes() + node[lo:hi].tobytes()
+
+
+def gathered(bucket: int, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of a bucket -> signatures (named by bucket and low bits) that two lines at least have, and their lines; of a bucket below 0 all."""
+    if bucket < 0:
+        n = [len(p) // 16 for p in pieces]
+        return np.concatenate([np.frombuffer(p, np.uint64, k) for p, k in zip(pieces, n, strict=True)]), np.concatenate([np.frombuffer(p, np.uint64, k, 8 * k) for p, k in zip(pieces, n, strict=True)])
+    n = [len(p) // 13 for p in pieces]
+    s = np.concatenate([np.frombuffer(p, np.uint32, k) | np.frombuffer(p, np.uint8, k, 4 * k).astype(np.uint64) << np.uint64(32) for p, k in zip(pieces, n, strict=True)])
+    node = np.concatenate([np.frombuffer(p[5 * k :], np.uint64) for p, k in zip(pieces, n, strict=True)])
+    x = np.sort(s)
+    often = np.zeros(1 << 20, bool)  # by the lowest bits: most signatures that are alone go here
+    often[x[1:][x[1:] == x[:-1]] & np.uint64(0xFFFFF)] = True
+    at = np.flatnonzero(often[s & np.uint64(0xFFFFF)])
+    at = at[np.lexsort((node[at], s[at]))]
+    s, node = s[at], node[at]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
+    s, node = s[new], node[new]
+    same = s[1:] == s[:-1]
+    met = np.append(False, same) | np.append(same, False) if len(s) else np.empty(0, bool)
+    return s[met] | np.uint64(bucket << LOW), node[met]
+
+
+def _common(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs(id, text) -> sig, id (the line's node): the signatures that two lines at least have, some rows twice; a task signs equal lines once."""
+
+    def sign(batches):
+        import pyarrow as pa
 
+        seen: set[int] = set()
+        waiting, nodes, sigs, n = [], [], [], 0  # the waiting lines' shingles are signed together
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> a row for each signature of each line: sig, id (the line's node); a task signs equal lines once."""
+        def signed_now():
+            first = np.cumsum([0] + [len(h) for h, _ in waiting])
+            sigs.append(band_hashes(np.concatenate([h for h, _ in waiting]), np.concatenate([f + at for (_, f), at in zip(waiting, first, strict=False)])))
+            waiting.clear()
 
-    def run(batches):
-        import pyarrow as pa
+        def packed():
+            if waiting:
+                signed_now()
+            pieces = list(spread(np.concatenate(sigs).ravel(), np.repeat(np.concatenate(nodes), BANDS), buckets))
+            for lo in range(0, len(pieces), 256):
+                part = pieces[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["bucket", "data"])
 
-        seen: set[int] = set()
         for b in batches:
             texts = A.as_bytes(b.column(0))
             for lo, hi in _blocks(texts):
                 lines = Lines(texts[lo:hi])
                 if not len(lines.begins):
                     continue
-                node = lines.hashes().view(np.int64)
+                node = lines.hashes()
                 _, first = np.unique(node, return_index=True)
-                new = np.array([k for k in first.tolist() if int(node[k]) not in seen], np.int64)
+                new = np.array([k for k, x in zip(first.tolist(), node[first].tolist(), strict=True) if x not in seen], np.int64)
                 if not len(new):
                     continue
                 if len(seen) + len(new) > REMEMBERED:
                     seen.clear()
                 seen.update(node[new].tolist())
-                sigs = band_hashes(*lines.shingles(new)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs.ravel()), pa.array(np.repeat(node[new], BANDS))], names=["sig", "id"])
+                nodes.append(node[new])
+                waiting.append(lines.shingles(new))
+                n += len(new)
+                if sum(len(h) for h, _ in waiting) >= SIGNED:
+                    signed_now()
+                if n >= AT_ONCE:
+                    yield from packed()
+                    nodes, sigs, n = [], [], 0
+        if n:
+            yield from packed()
+
+    def meet(batches):
+        import pyarrow as pa
 
-    return docs.where("id is not null and text is not null").select("text").mapInArrow(run, "sig long, id long")
+        def rows(bucket, pieces):
+            s, node = gathered(bucket, pieces)
+            return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node.view(np.int64))], names=["sig", "id"])
+
+        now, pieces = None, []
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != now or k < 0:
+                    if pieces:
+                        yield rows(now, pieces)
+                    now, pieces = k, []
+                pieces.append(x)
+        if pieces:
+            yield rows(now, pieces)
+
+    signed = docs.where("id is not null and text is not null").select("text").mapInArrow(sign, "bucket int, data binary")
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, id long")
 
 
 def _texts_of(docs: DataFrame, lines: DataFrame):
@@ -219,16 +311,27 @@ def elements(column) -> list[np.ndarray]:
     for lo, hi in _blocks(texts):
         block = Lines(texts[lo:hi])
         h, first = block.shingles(np.arange(len(block.begins)))
-        out += [np.unique(s) for s in np.split(h, first[1:])]
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
+            s = h[lo:hi]
+            s.sort()
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
     return out
 
 
+def buckets(lines: DataFrame) -> int:
+    """As many that they spread evenly over the partitions and that each has about a million rows at most."""
+    return max(16 * partitions(lines.sparkSession), lines.count() * BANDS >> 20)
+
+
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, line) of the lines that go; lines are numbered from 0."""
     own = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     lines = written(_hashed(own))
-    some = lines.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("node").alias("id")).distinct()
-    links = bucket_links(_signed(own), _texts_of(own, lines), elements, percent, some=some)
+    common = written(_common(own, buckets(lines)).distinct())
+    links = bucket_links(common, _texts_of(own, lines), elements, percent)
+    discard(common)
     comp = components(links).withColumnRenamed("id", "node")
     placed = lines.select("id", "line", "node").join(comp, "node", "left").select("id", "line", F.coalesce("component", "node").alias("c"))
     first = placed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")

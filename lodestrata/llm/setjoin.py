@@ -26,12 +26,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import discard, met, written
+from ._cluster import discard, met, partitions, written
 
 #: Members of a bucket that one task of the block comparison takes from each side.
 BLOCK_ROWS = 1024
 #: Ids of a family that is compared as a whole.
 FAMILY = 4096
+#: Rows of a block that are compared pair by pair.
+PAIRWISE = 16
+#: Links that one task's union-find takes.
+ONE_TASK = 1 << 19
 
 
 #: Signatures of a larger share of all rows than one in so many are hot; they are looked for in the rows of one in SHARE ids.
@@ -58,14 +62,38 @@ def met_signatures(rows: DataFrame, some: DataFrame | None = None, **more: Colum
     return met(cold.unionByName(rows.join(F.broadcast(groups), "sig")))
 
 
+def _joined(batches):
+    """Union-find over all links: each id but the smallest of its component, and that one."""
+    import pyarrow as pa
+
+    links = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not links:
+        return
+    ids, at = np.unique(np.concatenate([x for pair in zip(*links, strict=True) for x in pair]), return_inverse=True)
+    u, v = np.split(at, 2)
+    parent = np.arange(len(ids))
+    while len(u):
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        u, v = parent[u], parent[v]
+        u, v = u[u != v], v[u != v]
+    moved = parent != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[parent[moved]])], names=["id", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b long): (id, component) for each id with a link; component is the smallest id reachable.
 
-    Alternates large-star and small-star steps until nothing changes; a hub's links
-    are joined with its minimum, which adaptive execution splits, never gathered.
+    Up to ``ONE_TASK`` links are joined by one task. More alternate large-star and small-star
+    steps until nothing changes; a hub's links are joined with its minimum, which adaptive
+    execution splits, never gathered.
     """
-    spark = links.sparkSession
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= ONE_TASK:
+        few = written(edges.coalesce(1).mapInArrow(_joined, "id long, component long"))
+        discard(edges)
+        return few
     known = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -81,6 +109,13 @@ def components(links: DataFrame) -> DataFrame:
         known = state
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of elements that both have."""
+    both = np.concatenate((x, y))
+    both.sort()
+    return np.count_nonzero(both[1:] == both[:-1])
+
+
 def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
     """pairs(a, b, x, y): those whose items x and y have a Jaccard similarity of so many percent at least, as (a, b)."""
 
@@ -90,8 +125,10 @@ def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
-                left, right = elements(b.column(2)), elements(b.column(3))
-                inter = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+                _, first, which = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)  # equal a, equal x
+                once = elements(b.column(2).take(pa.array(first)))
+                left, right = [once[k] for k in which.tolist()], elements(b.column(3))
+                inter = np.array([shared(x, y) for x, y in zip(left, right, strict=True)], np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - inter
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(100 * inter >= percent * union))
 
@@ -101,15 +138,33 @@ def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
 def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """rows: (id, component, sorted distinct elements). Links between components, as many as join them."""
     n = len(rows)
-    comp = np.array([r[1] for r in rows])
-    if n < 2 or (comp == comp[0]).all():
+    if n < 2 or all(r[1] == rows[0][1] for r in rows):
         return []
+    parent = {r[1]: r[1] for r in rows}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    if n <= PAIRWISE:
+        out = []
+        for k, (y, d, right) in enumerate(rows):
+            for x, c, left in rows[:k]:
+                p, q, both = root(c), root(d), len(left) + len(right)
+                # no larger intersection than the smaller set
+                if p != q and (100 + percent) * min(len(left), len(right)) >= percent * both and (100 + percent) * shared(left, right) >= percent * both:
+                    parent[p] = q
+                    out.append((x, y))
+        return out
+    comp = np.array([r[1] for r in rows])
     sizes = np.array([len(r[2]) for r in rows], np.int64)
     items = np.concatenate([r[2] for r in rows])
     owner = np.repeat(np.arange(n), sizes)
     _, at, times = np.unique(items, return_inverse=True, return_counts=True)
-    shared = times[at] > 1  # an element of one row alone is in no intersection
-    owner, at = owner[shared], at[shared]
+    several = times[at] > 1  # an element of one row alone is in no intersection
+    owner, at = owner[several], at[several]
     inter = np.zeros((n, n), np.float32)
     if len(at):
         _, at = np.unique(at, return_inverse=True)
@@ -122,14 +177,6 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
     # 100 inter >= percent (a + b - inter); sums of counts are exact as doubles
     ok = (100 + percent) * inter.astype(float) >= percent * (sizes[:, None] + sizes[None, :]).astype(float)
     i, j = np.nonzero(np.triu(ok & (comp[:, None] != comp[None, :]), 1))
-    parent = {c: c for c in comp.tolist()}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
     out = []
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = root(int(comp[x])), root(int(comp[y]))
@@ -181,14 +228,29 @@ def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], el
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = met(rows.select("alone", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component"), sets, "id")
 
-    def compare(key, table):
+    keys = ["alone", "key", "i", "j"]
+
+    def compare(batches):
         import pyarrow as pa
 
-        items = [e for chunk in table.column("items").chunks for e in elements(chunk)]
-        data = list(zip(table.column("id").to_pylist(), table.column("component").to_pylist(), items, strict=True))
-        found = block_links(data, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        def table(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        now, data = None, []
+        for big in batches:
+            for lo in range(0, big.num_rows, 1000):
+                b, found = big.slice(lo, 1000), []
+                names = zip(*[b.column(k).to_pylist() for k in range(4)], strict=True)
+                for name, x, c, e in zip(names, b.column(4).to_pylist(), b.column(5).to_pylist(), elements(b.column(6)), strict=True):
+                    if name != now:
+                        found += block_links(data, percent)
+                        now, data = name, []
+                    data.append((x, c, e))
+                yield table(found)
+        yield table(block_links(data, percent))
 
-    more = written(rows.groupBy("alone", "key", "i", "j").applyInArrow(compare, "a long, b long"))
+    # few bytes, much work: a number of partitions is kept as it is
+    rows = rows.select(*keys, "id", "component", "items").repartition(partitions(buckets.sparkSession), *keys).sortWithinPartitions(*keys)
+    more = written(rows.mapInArrow(compare, "a long, b long"))
     discard(rest, family, grouped, sets)
     return known.union(more)

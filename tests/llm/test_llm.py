@@ -523,3 +523,63 @@ def test_pipeline(spark, docs, tmp_path):
     assert [n for n, _ in P.STAGES][0] == "quality rules" and len(P.STAGES) == 5
     rows = P.run(spark, str(tmp_path)).collect()
     assert all(r.length <= 1024 for r in rows)
+
+
+def test_line_dedup_meets_signatures():
+    from lodestrata.llm import line_dedup as L
+
+    rng = np.random.default_rng(5)
+    nodes = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    sigs = rng.integers(0, 1 << 64, (4000, L.BANDS), dtype=np.uint64)
+    sigs[:3000, 0] = sigs[0, 0]  # many lines have one signature, some two have one, in one call and in several
+    sigs[100:300, 3] = sigs[2100:2300, 3]
+    sigs[10:20, 5] = sigs[30:40, 5]
+    lines = [np.arange(0, 1500), np.arange(1400, 2500), np.arange(2500, 4000)]  # a hundred of them in two calls
+    buckets: dict[int, list[bytes]] = {}
+    for part in lines:
+        for k, piece in L.spread(sigs[part].ravel(), np.repeat(nodes[part], L.BANDS), 40):
+            buckets.setdefault(k, []).append(piece)
+    rows = [(s, x) for k, pieces in buckets.items() for s, x in zip(*[a.tolist() for a in L.gathered(k, pieces)], strict=True)]
+    found: dict[int, set[int]] = {}
+    for s, x in rows:
+        found.setdefault(s, set()).add(x)
+    want: dict[int, set[int]] = {}
+    for k, line in enumerate(sigs.tolist()):
+        for s in line:
+            want.setdefault(s, set()).add(int(nodes[k]))
+    assert sorted(sorted(x) for x in found.values()) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    # packed: half of what a row of two longs takes, and the hot signature is no bucket's load
+    assert sum(len(p) for k, pieces in buckets.items() for p in pieces if k >= 0) <= 13 * sum(len(part) for part in lines) * L.BANDS
+    assert max(sum(len(p) // 13 for p in pieces) for k, pieces in buckets.items() if k >= 0) < 4100
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    from lodestrata.llm import setjoin as S
+
+    monkeypatch.setattr(S, "ONE_TASK", 0)
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(50, 129), (-3, 60)]
+    rounds = {r.id: r.component for r in S.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    monkeypatch.setattr(S, "ONE_TASK", 1000)
+    assert {r.id: r.component for r in S.components(spark.createDataFrame(links, "a long, b long")).collect()} == rounds
+    assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_block_links_of_few_and_many():
+    from lodestrata.llm import setjoin as S
+
+    rng = np.random.default_rng(4)
+    for n in (2, 9, S.PAIRWISE, S.PAIRWISE + 1, 40):
+        base = [np.unique(rng.integers(0, 1 << 40, 60, dtype=np.uint64)) for _ in range(4)]
+        rows = [(k, int(rng.integers(0, n)), np.unique(np.concatenate((base[k % 4][rng.random(len(base[k % 4])) < 0.93], rng.integers(0, 1 << 40, 2, dtype=np.uint64))))) for k in range(n)]
+
+        def groups(links, rows=rows):
+            comp = {c: c for _, c, _ in rows}
+            of = {k: c for k, c, _ in rows}
+            for x, y in links:
+                p, q = comp[of[x]], comp[of[y]]
+                comp = {c: min(p, q) if r in (p, q) else r for c, r in comp.items()}
+            return comp
+
+        every = [(x, y) for x, _, a in rows for y, _, b in rows if x < y and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))]
+        links = S.block_links(rows, 80)
+        assert set(links) <= set(every) and groups(links) == groups(every)
