@@ -37,7 +37,7 @@ REMEMBERED = 300_000
 #: Bytes of documents taken at a time, and cells of a matrix of shingles.
 BLOCK, MATRIX = 1 << 18, 1 << 17
 #: Shingles signed at a time, lines whose signatures are dealt at a time, rows of a piece of them, and bits of a signature within its bucket.
-SIGNED, AT_ONCE, PIECE, LOW = 1 << 21, 75_000, 1 << 13, 40
+SIGNED, AT_ONCE, PIECE, LOW = 1 << 20, 32_000, 1 << 13, 40
 #: Minimum hashes; each is a row of two bands, once with its neighbours and once with those of other groups.
 HASHES = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)

@@ -7,7 +7,7 @@ component, nothing is left to learn from it. All other buckets are gathered into
 families, the components of buckets with a member in common, so that ids which meet in
 many buckets are compared once; a bucket of a family of more than ``FAMILY`` ids is
 taken alone instead. Their members are compared in blocks of bounded size, each pair of
-blocks in a task of its own, which gives a spanning set of links. No list of all pairs
+blocks on its own, which gives a spanning set of links. No list of all pairs
 is made, and no link that joins two components is missed.
 
 A signature's smallest id, number of ids and hashes of them come from a window where it

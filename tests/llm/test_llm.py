@@ -583,3 +583,16 @@ def test_block_links_of_few_and_many():
         every = [(x, y) for x, _, a in rows for y, _, b in rows if x < y and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))]
         links = S.block_links(rows, 80)
         assert set(links) <= set(every) and groups(links) == groups(every)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    from lodestrata.llm.setjoin import components as join
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert {(r.id, r.component) for r in join(links).collect()} == {(i, 0) for i in range(1, 61)}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < jobs <= 8
