@@ -260,3 +260,14 @@ def test_more_sinks(marked):
     rows = [json.loads(r.value) for r in K.tasks(marked).collect()]
     assert {r["subject"] for r in rows} >= {"TODO: Add proper CLI argument parsing"} and len(rows) == 11
     assert "Add cancel support" in K.html(marked)
+
+
+def test_words_end_before_accents_and_unnumbered_comments_come_last(spark):
+    from lodestrata.operators import collectors as C
+
+    rows = [(1, 0, "les\u00e9aux"), (1, None, "les unes"), (1, 1, "le\u017fa deux"), (1, 2, "no"), (2, 0, "bless\u00e9"), (2, 1, None), (2, 2, "\u00e9les"), (2, 3, "LES trois")]
+    x = spark.createDataFrame(rows, "thread int, nth int, text string")
+    got = C.actionable(x, r"(?i)\b(?:the|und|les)\b", 2).collect()
+    assert {(r.thread, r.nth) for r in got} == {(1, 0), (1, 1), (2, 2), (2, 3)}
+    lines = spark.createDataFrame([("a", 1, "token\u00e9 x")], "path string, line int, text string")
+    assert [r.kind for r in C.markers(lines, {"TOKEN": 0.8}, prefix=r"\b").collect()] == ["token"]
