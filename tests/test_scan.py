@@ -83,6 +83,33 @@ def test_dead_code(tree):
     assert got["unused-function", "Unused function: show"] == 0.3
 
 
+def test_dead_code_is_never_gathered_in_the_driver(spark, tmp_path):
+    from lodestrata.operators import collectors as C
+    from lodestrata.operators import scan as N
+    from lodestrata.plans import roles as P
+
+    spark.range(100).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    dead = N.deadcode({"files": P.code_files(spark, str(tmp_path))}, N.Options())[0]
+    assert "Broadcast" not in dead._jdf.queryExecution().executedPlan().toString()
+    # a token's path is its own, another's, a test's or a null one
+    at = [("once", "a", False), ("twice", "a", False), ("twice", "a", False), ("both", "a", False), ("both", "b", False), ("mixed", "a", False), ("mixed", "t", True), ("apart", "t", True), ("apart", "u", True), ("again", "t", True), ("again", "t", True), ("again", "u", True), ("lost", None, False)]
+    tokens = spark.createDataFrame(at, "token string, path string, is_test boolean")
+    named = spark.createDataFrame([(t, p) for t, p in (("once", "a"), ("once", "b"), ("twice", "a"), ("both", "a"), ("mixed", "a"), ("apart", "t"), ("apart", "a"), ("again", "t"), ("again", "u"), ("lost", None), ("never", "a"))], "symbol string, path string")
+    got = {(r.symbol, r.path, r.test_only) for r in C.dead_symbols(named, tokens).collect()}
+    assert got == {("once", "a", False), ("mixed", "a", True), ("apart", "t", True), ("apart", "a", True), ("again", "u", True), ("never", "a", False)}
+    plain = {(r.symbol, r.path) for r in C.dead_symbols(named, tokens.drop("is_test")).collect()}
+    assert plain == {("once", "a"), ("never", "a")}
+
+
+def test_code_files_are_made_on_all_cores(spark, tmp_path):
+    from lodestrata.plans import roles as P
+
+    spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = P.code_files(spark, str(tmp_path))
+    files.write.parquet(f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("part-*"))) >= spark.sparkContext.defaultParallelism
+
+
 def test_scan(tree, spark):
     from lodestrata.operators import scan as N
 
