@@ -142,6 +142,29 @@ def test_merged_clones(spark):
     assert {(r.lines, r.locations, round(r.confidence, 6)) for r in got} == {(10, 2, 0.4)}
 
 
+def test_clones_are_told_file_by_file(spark):
+    from lodestrata.operators import collectors as C
+    from lodestrata.operators.scan import lines_of
+
+    block = [f"line {i} of the block" for i in range(9)]
+    far, other = [f"far {i}" for i in range(4)], [f"other {i}" for i in range(5)]
+    text = {
+        "a": [*block, "", "# no line", *other, *far],
+        "b": ["b", *other, *block, *far],
+        "c": ["", *block[:6], "c"],
+        "d": ["same"] * 7,
+        "e": ["e", "same", "same", "same", "same", "x"],
+    }
+    files = spark.createDataFrame([(p, "\n".join(t) + "\n") for p, t in text.items()] + [("f", None), ("g", "")], "path string, content string")
+    windows, want = C.file_windows(files, 4), C.clone_windows(C.normalised_lines(lines_of(files)), 4)
+    assert windows.columns == want.columns and sorted(map(tuple, windows.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in windows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.path, r.start, r.stop, r.lines, r.locations) for r in C.merged_clones(windows, 4).collect()}
+    # three files have the block's beginning; two have its end and the rest, which begins within four lines of each other
+    three, two = {("a", 1, 6, 6, 3), ("b", 7, 12, 6, 3), ("c", 2, 7, 6, 3)}, {("a", 4, 20, 18, 2), ("b", 2, 19, 18, 2)}
+    assert got == three | two | {("d", 1, 7, 7, 5), ("e", 2, 5, 7, 5)}
+
+
 def test_links_are_seen_from_their_document(spark):
     from lodestrata.operators import collectors as C
 
