@@ -73,6 +73,25 @@ def test_imports(tree):
     assert got == {("app.models", "app.views"), ("app.views", "app.models"), ("app.test_views", "app.views"), ("lib/index", "lib/util/index")}
 
 
+def test_imports_are_dealt_out(spark, tmp_path):
+    from lodestrata.operators.scan import lines_of
+    from lodestrata.plans import roles as P
+    from lodestrata.sources import code as Y
+
+    files = {
+        "a/b.py": "import a.c.d.e\nimport a.c\nfrom a.c.x import y\nimport a.b\nimport zz\nimport a.b.own\nimport a.c.d.e\n", "a/c.py": "import a\n", "a/c/d.py": "", "a.py": "import a.c..d\n", "n.py": None,
+        "w/k.ts": "import x from './m'\nexport * from './k'\nconst q = require('../w/m/index')\nimport y from 'react'\n", "w/m.js": "", "w/m/index.js": "import n from '../k'\n",
+        "j/k/A.java": "import static l.m.B;\nimport j.k.C;\n", "l/m/B.java": "", "r/one.rb": "require_relative 'two'\n", "r/two.rb": "", "p/x.php": "use q\\Y;\n", "q/Y.php": "", "src/u.rs": "use crate::v;\n", "src/v.rs": "", "c/x.c": '#include "c/y.h"\n', "c/y.h": "",
+    }
+    x = spark.createDataFrame(list(files.items()), "path string, content string")
+    got = {(r.src, r.dst) for r in Y.import_edges(lines_of(x)).collect()}
+    assert {e for e in got if e[0].startswith("a")} == {("a.b", "a.c.d"), ("a.b", "a.c"), ("a.c", "a"), ("a", "a.c")}
+    assert {e for e in got if not e[0].startswith("a")} == {("w/k", "w/m"), ("w/k", "w/m/index"), ("w/m/index", "w/k"), ("j.k", "l.m"), ("r/one", "r/two"), ("p", "q"), ("u", "v"), ("c/x.c", "c/y.h")}
+    spark.range(100).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    plan = Y.import_edges(lines_of(P.code_files(spark, str(tmp_path))))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(src") == 1
+
+
 def test_dead_code(tree):
     from lodestrata.operators import scan as N
 
