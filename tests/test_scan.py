@@ -120,6 +120,24 @@ def test_dead_code_is_never_gathered_in_the_driver(spark, tmp_path):
     assert plain == {("once", "a"), ("never", "a")}
 
 
+def test_only_words_that_may_be_dead_symbols_are_grouped(spark, tmp_path):
+    """Neither words that are no symbol nor each line of a common first word go into a shuffle."""
+    from lodestrata import queries as Q
+    from lodestrata.operators import collectors as C
+
+    text = "\n".join(f"Common w{k} mentioned{k} x{k}" for k in range(3000))
+    rows = [(1, f"{text}\nLonely begins\rNot a line\n\n  Inside\nOther", "s"), (2, f"{text}\n Other\nAlso\n", "s"), (3, "Null", None), (4, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sc = spark.sparkContext
+    listed = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed())}
+    before = stages()
+    got = {(r.symbol, r.path, r.test_only) for r in Q.dead_symbols(spark, str(tmp_path)).collect()}
+    assert got == {("Lonely", "s/1.md", False), ("Also", "s/2.md", False)}
+    # the words of the bitmap do not grow with the input
+    assert sum(n for k, n in stages().items() if k not in before) - getattr(C, "MARKED_WORDS", 0) < 2000
+
+
 def test_code_files_are_made_on_all_cores(spark, tmp_path):
     from lodestrata.plans import roles as P
 
