@@ -23,7 +23,7 @@ _powers: list[np.ndarray] = []
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply rounds)."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
+    x *= np.uint64(0x7FB5D329728EA185)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x81DADEF4BC2DD44D)
     x ^= x >> np.uint64(33)

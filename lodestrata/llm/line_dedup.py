@@ -42,9 +42,11 @@ SIGNED, AT_ONCE, PIECE, LOW = 1 << 20, 32_000, 1 << 13, 40
 HASHES = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = (_rng.integers(0, 1 << 16, HASHES) | 1).astype(np.uint16)
-SHIFTS = _rng.integers(0, 1 << 16, HASHES).astype(np.uint16)
+SHIFTS = _rng.integers(0, 1 << 16, HASHES).astype(np.uint16)[: HASHES // 3]
 BAND_TAGS = _rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
 BAND_ROWS = np.array([[(j + t * turn) % (BANDS // 2) * ROWS + t for t in range(ROWS)] for turn in (0, 1) for j in range(BANDS // 2)])
+#: Minimum hashes, three a shift, of which no two are of one band: they take the same 16 bits of a shingle's hash.
+SHIFTED = [[lane + 4 * (7 * k + (q + 3 * k) % 7) for k in range(3)] for q in range(HASHES // 12) for lane in range(4)]
 
 
 #: A to Z in lower case, white space but line feeds as blanks.
@@ -120,11 +122,12 @@ def band_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         cells = np.minimum(np.arange(width)[:, None], size[which] - 1) + first[which]
         values = h[cells if axis == 0 else np.ascontiguousarray(cells.T)].view(np.uint16)
         mats = [np.ascontiguousarray(values[:, k::4]) for k in range(4)]
-        lows, now = np.empty((HASHES, len(which)), np.uint64), np.empty_like(mats[0])
-        for i, (k, c) in enumerate(zip(MULTIPLIERS, SHIFTS, strict=True)):
-            np.bitwise_xor(mats[i % 4], c, out=now)
-            np.multiply(now, k, out=now)
-            lows[i] = now.min(axis=axis)
+        lows, shifted, now = np.empty((HASHES, len(which)), np.uint64), np.empty_like(mats[0]), np.empty_like(mats[0])
+        for c, three in zip(SHIFTS, SHIFTED, strict=True):
+            np.bitwise_xor(mats[three[0] % 4], c, out=shifted)
+            for i in three:
+                np.multiply(shifted, MULTIPLIERS[i], out=now)
+                lows[i] = now.min(axis=axis)
         bands = np.zeros((BANDS, len(which)), np.uint64)
         for t in range(ROWS):
             bands = bands * np.uint64(0xD6E8FEB86659FD93) + lows[BAND_ROWS[:, t]]
@@ -312,11 +315,13 @@ def elements(column) -> list[np.ndarray]:
         block = Lines(texts[lo:hi])
         h, first = block.shingles(np.arange(len(block.begins)))
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
-            s = h[lo:hi]
-            s.sort()
-            new = np.ones(len(s), bool)
-            np.not_equal(s[1:], s[:-1], out=new[1:])
-            out.append(s[new])
+            h[lo:hi].sort()
+        new = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        new[first] = True
+        first = (np.cumsum(new) - 1)[first]
+        h = h[new]
+        out += [h[lo:hi] for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
     return out
 
 

@@ -225,6 +225,20 @@ def test_line_dedup(spark, docs, none):
     assert L.without_repeated_lines(docs, counts=True).count() == len(ROWS)
 
 
+def test_line_dedup_shares_shifts_between_bands_only():
+    """A shift of the shingles' hashes serves three minimum hashes, no two of one band."""
+    from lodestrata.llm import line_dedup as L
+
+    assert 3 * len(L.SHIFTS) == L.HASHES and sorted(i for three in L.SHIFTED for i in three) == list(range(L.HASHES))
+    assert all(len({i % 4 for i in three}) == 1 and all(len(set(three) & set(band)) < 2 for band in L.BAND_ROWS.tolist()) for three in L.SHIFTED)
+    import pyarrow as pa
+
+    texts = ["aaaaaaaa", "ab", "abcdefg abcdefg", "xaaaaaaaa"]
+    got = L.elements(pa.array([t.encode() for t in texts]))
+    assert [len(x) for x in got] == [len({t[k : k + 5] for k in range(max(1, len(t) - 4))}) for t in texts]
+    assert all((x[1:] > x[:-1]).all() for x in got) and np.isin(got[0], got[3]).all()
+
+
 def test_line_dedup_recall():
     import random
 
