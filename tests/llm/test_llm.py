@@ -262,6 +262,34 @@ def test_line_dedup_recall():
     assert (sigs[0::2] == sigs[1::2]).any(axis=1).mean() >= 0.9985
 
 
+def test_line_dedup_sketches():
+    """The values depend on the set of a line's shingles only, and more pairs of similarity 0.8 meet than by minimum hashes alone."""
+    from lodestrata.llm import line_dedup as L
+
+    rng = np.random.default_rng(11)
+    pairs = []
+    for union, count in ((5, 10000), (20, 10000), (100, 10000), (400, 4000)):
+        for x in rng.integers(0, 1 << 64, (count, union), dtype=np.uint64):
+            both, cut = round(0.8 * union), int(rng.integers(round(0.8 * union), union + 1))
+            pairs += [x[:cut], np.concatenate((x[:both], x[cut:]))]
+    sigs = L.band_hashes(np.concatenate(pairs), np.cumsum([0] + [len(x) for x in pairs[:-1]]))
+    assert (sigs[0::2] == sigs[1::2]).any(axis=1).mean() >= 0.9995
+    assert len(np.unique(sigs[:2000])) > 0.5 * sigs[:2000].size
+    some = [pairs[k] for k in (0, 7, 20001, 40003, 60002)]
+    long = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 2, 40, 3000)]
+    for x in some + long:
+        alone = L.band_hashes(x, np.array([0]))
+        shuffled = rng.permutation(np.concatenate([x] * (1 + 1000 // len(x))))  # repeats are taken out of lines that stay open
+        assert (L.band_hashes(np.concatenate([pairs[3], shuffled, pairs[4]]), np.array([0, len(pairs[3]), len(pairs[3]) + len(shuffled)]))[1] == alone[0]).all()
+
+
+def test_line_dedup_does_not_sort_texts(spark, docs):
+    from lodestrata.llm import line_dedup as L
+
+    plan = L.without_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_components(spark):
     import random
 
