@@ -22,11 +22,12 @@ _powers: list[np.ndarray] = []
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply rounds)."""
-    x = x ^ (x >> np.uint64(31))
+    shifted = x >> np.uint64(31)
+    x = x ^ shifted
     x *= np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=shifted)
     x *= np.uint64(0x81DADEF4BC2DD44D)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=shifted)
     return x
 
 

@@ -34,10 +34,12 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 28, 6
 REMEMBERED = 300_000
-#: Bytes of documents taken at a time, and shingles sketched at a time.
-BLOCK, MATRIX = 1 << 18, 1 << 18
+#: Bytes of documents taken at a time, shingles sketched at a time, and those of them that fall into bins at a time.
+BLOCK, MATRIX, CACHED = 1 << 17, 1 << 20, 1 << 15
 #: Shingles signed at a time, lines whose signatures are dealt at a time, rows of a piece of them, and bits of a signature within its bucket.
 SIGNED, AT_ONCE, PIECE, LOW = 1 << 20, 32_000, 1 << 13, 40
+#: Bytes of files a partition up to which lines need not be counted.
+DEALT = 1 << 25
 #: Minimum hashes; each is a row of two bands, once with its neighbours and once with those of other groups.
 HASHES = BANDS * ROWS // 2
 _rng = np.random.default_rng(20240229)
@@ -66,7 +68,7 @@ class Lines:
 
     def __init__(self, texts: list[bytes]):
         data = (b"\n".join(texts) + b"\n").translate(NORMAL)
-        code = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        code = np.frombuffer(data, np.uint8) if data.isascii() else np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         feed = code == 10
         if b"  " in data or b"\n " in data or data[:1] == b" ":  # the first of a run of blanks stays, none after a line feed
             blank = code == 32
@@ -89,11 +91,12 @@ class Lines:
         return A.span_hashes(self.code, self.begins, self.ends) if len(self.begins) else np.empty(0, np.uint64)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of the chosen lines, line after line, and each line's first."""
+        """Hashes of the shingles of the chosen lines (ascending), line after line, and each line's first."""
         b, e = self.begins[which], self.ends[which]
         size = np.maximum(e - b - SHINGLE + 1, 1)
         first = np.cumsum(size) - size
-        at = np.repeat(b - first, size) + np.arange(size.sum())
+        begun = np.zeros(len(self.code) + 1, np.int8)
+        begun[b], begun[b + size] = 1, -1
         h = np.zeros(len(self.code), np.uint64)
         n = len(self.code) - SHINGLE + 1
         if n > 0:  # a polynomial in the five code points: of two pairs and one
@@ -105,11 +108,10 @@ class Lines:
             h[:n] += two[2 : n + 2]
             h[:n] *= by
             h[:n] += code[4:]
-        out = h[at]
         short = np.flatnonzero(e - b < SHINGLE)
         if len(short):
-            out[first[short]] = A.span_hashes(self.code, b[short], e[short])
-        return A.mix64(out), first
+            h[b[short]] = A.span_hashes(self.code, b[short], e[short])
+        return A.mix64(h[np.cumsum(begun, dtype=np.int8)[:-1].view(bool)]), first
 
 
 def _distinct(h: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def _last_minima(h: np.ndarray, size: np.ndarray, line: np.ndarray, bin: np.ndar
     first, out, lo = np.cumsum(size) - size, np.empty(len(line), np.uint32), 0
     ends = np.cumsum(size[line])
     while lo < len(line):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MATRIX, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MATRIX // 4, "right")))
         n, k = size[line[lo:hi]], bin[lo:hi]
         begin = np.cumsum(n) - n
         x = h[np.repeat(first[line[lo:hi]] - begin, n) + np.arange(n.sum())]
@@ -138,6 +140,26 @@ def _last_minima(h: np.ndarray, size: np.ndarray, line: np.ndarray, bin: np.ndar
     return out
 
 
+def _fall(lows: np.ndarray, h: np.ndarray, size: np.ndarray, line: np.ndarray, k: int) -> None:
+    """Round k: the shingles of these lines fall into the lines' bins that are still empty, as many at a time as the CPU's cache takes."""
+    ends, flat, lo = np.cumsum(size), lows.reshape(-1), 0
+    while lo < len(size):
+        begin = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + CACHED, "right")))
+        x = h[begin : ends[hi - 1]]
+        x = x * ROUNDS[k] if k else x
+        at = x >> np.uint64(32)
+        at *= np.uint64(HASHES)
+        at >>= np.uint64(32)
+        at = at.view(np.int64)
+        at += np.repeat(line[lo:hi] * HASHES, size[lo:hi])
+        if k:
+            empty = np.flatnonzero(flat.take(at) == EMPTY)
+            at, x = at[empty], x[empty]
+        np.minimum.at(flat, at, x.astype(np.uint32))
+        lo = hi
+
+
 def minima(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """HASHES values a line, of which two lines share a part that is their similarity: fast similarity sketching.
 
@@ -146,20 +168,13 @@ def minima(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """
     lows = np.full((len(size), HASHES), EMPTY, np.uint32)
     left = np.arange(len(size))
-    for k, by in enumerate(ROUNDS):
-        x = h * by if k else h
-        at = x >> np.uint64(32)
-        at *= np.uint64(HASHES)
-        at >>= np.uint64(32)
-        at += np.repeat(np.arange(len(size), dtype=np.uint64) * np.uint64(HASHES), size)
-        now = np.full((len(size), HASHES), EMPTY, np.uint32)
-        np.minimum.at(now.ravel(), at.view(np.int64), x.astype(np.uint32))
-        now = np.where(lows[left] == EMPTY, now, lows[left]) if k else now
-        lows[left] = now
-        open_ = (now == EMPTY).any(axis=1)
+    for k in range(len(ROUNDS)):
+        _fall(lows, h, size, left, k)
+        open_ = (lows[left] == EMPTY).any(axis=1)
         if not open_.any():
             return lows
-        h, size, left = h[np.repeat(open_, size)], size[open_], left[open_]
+        if k:  # after the first round most lines are open
+            h, size, left = h[np.repeat(open_, size)], size[open_], left[open_]
         if k == 1:  # long and still open, so of few shingles many times over
             h, size = _distinct(h, size, np.flatnonzero(size > SEVERAL))
     line, bin = np.nonzero(lows[left] == EMPTY)
@@ -175,11 +190,12 @@ def band_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     while lo < len(first):
         hi = max(lo + 1, min(int(np.searchsorted(ends, first[lo] + MATRIX, "right")), lo + MATRIX // HASHES))
         lows = np.ascontiguousarray(minima(h[first[lo] : ends[hi - 1]], ends[lo:hi] - first[lo:hi]).T)
-        bands = np.zeros((BANDS, hi - lo), np.uint64)
-        for t in range(ROWS):
-            bands *= np.uint64(0xD6E8FEB86659FD93)
-            bands += lows[BAND_ROWS[:, t]]
-        out[lo:hi] = bands.T
+        for k in range(0, hi - lo, 1024):
+            bands = np.zeros((BANDS, min(1024, hi - lo - k)), np.uint64)
+            for t in range(ROWS):
+                bands *= np.uint64(0xD6E8FEB86659FD93)
+                bands += lows[BAND_ROWS[:, t], k : k + 1024]
+            out[lo + k : lo + k + bands.shape[1]] = bands.T
         lo = hi
     return A.mix64(out + BAND_TAGS)
 
@@ -196,20 +212,16 @@ def _blocks(texts: list[bytes]):
         yield lo, len(texts)
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> one row a line with words: id, line, node."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), A.as_bytes(b.column(1))
-            for lo, hi in _blocks(texts):
-                lines = Lines(texts[lo:hi])
-                own = np.array(ids[lo:hi], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own[lines.owner]), pa.array(lines.number.astype(np.int64)), pa.array(lines.hashes().view(np.int64))], names=["id", "line", "node"])
-
-    return docs.where("id is not null and text is not null").mapInArrow(run, "id long, line long, node long")
+def _order(s: np.ndarray) -> np.ndarray:
+    """The rows in the order of s, as argsort: rows' numbers take the lowest bits and are sorted with the rest, which is faster."""
+    bits = max(1, len(s).bit_length())
+    key = s >> np.uint64(bits)
+    key <<= np.uint64(bits)
+    key |= np.arange(len(s), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+    x = s[order]
+    return np.argsort(s) if (x[1:] < x[:-1]).any() else order  # some differ in the lowest bits only
 
 
 def spread(sigs: np.ndarray, nodes: np.ndarray, buckets: int):
@@ -218,7 +230,7 @@ def spread(sigs: np.ndarray, nodes: np.ndarray, buckets: int):
     A signature that several of these lines have goes to its bucket with one of them only, and with all of them
     to a bucket below 0, whichever takes it: no bucket has a signature more often than there are calls.
     """
-    order = np.argsort(sigs)
+    order = _order(sigs)
     s, node = sigs[order], nodes[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
@@ -259,14 +271,62 @@ def gathered(bucket: int, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return s[met] | np.uint64(bucket << LOW), node[met]
 
 
-def _common(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(id, text) -> sig, id (the line's node): the signatures that two lines at least have, some rows twice; a task signs equal lines once."""
+def spread_places(node: np.ndarray, id: np.ndarray, line: np.ndarray, ranges: int):
+    """Places of lines -> pieces (range, bytes) for first_places(), by ranges of nodes, each node's first; then, in range -1, the other places."""
+    order = np.lexsort((line, id, node))
+    node, id, line = node[order], id[order], line[order]
+    new = np.ones(len(node), bool)
+    new[1:] = node[1:] != node[:-1]
+    other = ~new
+    other[1:] &= (id[1:] != id[:-1]) | (line[1:] != line[:-1])  # rows that share an id are one document
+    node, own, at = node[new], id[new], line[new]
+    ends = np.searchsorted(((node >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        for lo in range(int(ends[k]), int(ends[k + 1]), PIECE):
+            x = slice(lo, min(lo + PIECE, int(ends[k + 1])))
+            yield k, node[x].tobytes() + own[x].tobytes() + at[x].tobytes()
+    own, at = id[other], line[other]
+    for lo in range(0, len(own), PIECE):
+        x = slice(lo, lo + PIECE)
+        yield -1, bytes(8 * len(own[x])) + own[x].tobytes() + at[x].tobytes()
+
+
+def places(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, ids and line numbers of pieces of spread_places()."""
+    n = [len(p) // 20 for p in pieces]
+    of = lambda kind, by: np.concatenate([np.frombuffer(p, kind, k, by * k) for p, k in zip(pieces, n, strict=True)])
+    return of(np.uint64, 0), of(np.int64, 8), of(np.int32, 16)
+
+
+def first_places(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces of a range -> nodes, ids, line numbers and whether it is the node's first place; each place once."""
+    node, id, line = places(pieces)
+    order = np.lexsort((line, id, node))
+    node, id, line = node[order], id[order], line[order]
+    first, once = np.ones(len(node), bool), np.ones(len(node), bool)
+    first[1:] = node[1:] != node[:-1]
+    once[1:] = first[1:] | (id[1:] != id[:-1]) | (line[1:] != line[:-1])
+    return node[once], id[once], line[once], first[once]
+
+
+#: Kinds of rows of _found().
+MET, FIRST, AGAIN = range(3)
+
+
+def _found(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs(id, text) -> kind, node, at, line: in one pass over the texts what lines have in common and where they are.
+
+    MET: the signatures (at) that two lines (node) at least have, some rows twice; a task signs equal lines once.
+    FIRST: each line's first place, by document (at) and line number. AGAIN: the other places of equal lines.
+    """
+    ranges = max(1, buckets // 8)
 
     def sign(batches):
         import pyarrow as pa
 
         seen: set[int] = set()
         waiting, nodes, sigs, n = [], [], [], 0  # the waiting lines' shingles are signed together
+        held, n_held = [], 0
 
         def signed_now():
             first = np.cumsum([0] + [len(h) for h, _ in waiting])
@@ -276,47 +336,61 @@ def _common(docs: DataFrame, buckets: int) -> DataFrame:
         def packed():
             if waiting:
                 signed_now()
-            pieces = list(spread(np.concatenate(sigs).ravel(), np.repeat(np.concatenate(nodes), BANDS), buckets))
+            pieces = list(spread(np.concatenate(sigs).ravel(), np.repeat(np.concatenate(nodes), BANDS), buckets)) if n else []
+            # ranges of places come after the buckets, places that nothing else is asked of after those
+            pieces += [(buckets + (k if k >= 0 else ranges + j % buckets), x) for j, (k, x) in enumerate(spread_places(*[np.concatenate(x) for x in zip(*held, strict=True)], ranges))]
             for lo in range(0, len(pieces), 256):
                 part = pieces[lo : lo + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["bucket", "data"])
 
         for b in batches:
-            texts = A.as_bytes(b.column(0))
+            texts = A.as_bytes(b.column(1))
+            order = sorted(range(len(texts)), key=lambda k: not texts[k].isascii())  # blocks of ASCII need no decoding
+            ids, texts = b.column(0).to_numpy()[order], [texts[k] for k in order]
             for lo, hi in _blocks(texts):
                 lines = Lines(texts[lo:hi])
                 if not len(lines.begins):
                     continue
                 node = lines.hashes()
+                held.append((node, ids[lo:hi][lines.owner], lines.number.astype(np.int32)))
+                n_held += len(node)
                 _, first = np.unique(node, return_index=True)
                 new = np.array([k for k, x in zip(first.tolist(), node[first].tolist(), strict=True) if x not in seen], np.int64)
-                if not len(new):
-                    continue
-                if len(seen) + len(new) > REMEMBERED:
-                    seen.clear()
-                seen.update(node[new].tolist())
-                nodes.append(node[new])
-                waiting.append(lines.shingles(new))
-                n += len(new)
-                if sum(len(h) for h, _ in waiting) >= SIGNED:
-                    signed_now()
-                if n >= AT_ONCE:
+                new.sort()
+                if len(new):
+                    if len(seen) + len(new) > REMEMBERED:
+                        seen.clear()
+                    seen.update(node[new].tolist())
+                    nodes.append(node[new])
+                    waiting.append(lines.shingles(new))
+                    n += len(new)
+                    if sum(len(h) for h, _ in waiting) >= SIGNED:
+                        signed_now()
+                if n >= AT_ONCE or n_held >= 4 * AT_ONCE:
                     yield from packed()
-                    nodes, sigs, n = [], [], 0
-        if n:
+                    nodes, sigs, n, held, n_held = [], [], 0, [], 0
+        if n_held:
             yield from packed()
 
     def meet(batches):
         import pyarrow as pa
 
         def rows(bucket, pieces):
-            s, node = gathered(bucket, pieces)
-            return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node.view(np.int64))], names=["sig", "id"])
+            if bucket < buckets:
+                at, node = gathered(bucket, pieces)
+                line, kind = np.zeros(len(node), np.int32), np.full(len(node), MET, np.int8)
+            elif bucket < buckets + ranges:
+                node, at, line, first = first_places(pieces)
+                kind = np.where(first, FIRST, AGAIN).astype(np.int8)
+            else:
+                node, at, line = places(pieces)
+                kind = np.full(len(node), AGAIN, np.int8)
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(node.view(np.int64)), pa.array(at.view(np.int64)), pa.array(line)], names=["kind", "node", "at", "line"])
 
         now, pieces = None, []
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if k != now or k < 0:
+                if k != now or not 0 <= k < buckets + ranges:
                     if pieces:
                         yield rows(now, pieces)
                     now, pieces = k, []
@@ -324,16 +398,16 @@ def _common(docs: DataFrame, buckets: int) -> DataFrame:
         if pieces:
             yield rows(now, pieces)
 
-    signed = docs.where("id is not null and text is not null").select("text").mapInArrow(sign, "bucket int, data binary")
-    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, id long")
+    signed = docs.where("id is not null and text is not null").select("id", "text").mapInArrow(sign, "bucket int, data binary")
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind tinyint, node long, at long, line int")
 
 
 def _texts_of(docs: DataFrame, lines: DataFrame):
-    """The texts of the asked lines, taken from the first document that holds each."""
+    """The texts of the asked lines, taken from the first document that holds each; lines(node, id, line) has each line's first place."""
 
     def fetch(ids: DataFrame) -> DataFrame:
-        place = looked_up(lines.select("node", "id", "line"), ids.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "line")).alias("p"))
-        asked = place.groupBy(F.col("p.id").alias("id")).agg(F.collect_list(F.struct("p.line", "node")).alias("asked"))  # at most a document's own lines
+        place = looked_up(lines, ids.withColumnRenamed("id", "node"), "node", "left_semi")
+        asked = place.groupBy("id").agg(F.collect_list(F.struct("line", "node")).alias("asked"))  # at most a document's own lines
 
         def run(batches):
             import pyarrow as pa
@@ -374,22 +448,29 @@ def elements(column) -> list[np.ndarray]:
     return out
 
 
-def buckets(lines: DataFrame) -> int:
-    """As many that they spread evenly over the partitions and that each has about a million rows at most."""
-    return max(16 * partitions(lines.sparkSession), lines.count() * BANDS >> 20)
+def buckets(docs: DataFrame) -> int:
+    """As many that they spread evenly over the partitions and that each has about a million rows at most; lines are counted only where the partitions are few for the input."""
+    n = partitions(docs.sparkSession)
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= n * DEALT:
+        return 16 * n
+    feeds = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    return max(16 * n, (feeds or 0) * BANDS >> 20)
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, line) of the lines that go; lines are numbered from 0."""
     own = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    lines = written(_hashed(own))
-    common = written(_common(own, buckets(lines)).distinct())
+    found = written(_found(own, buckets(own)))
+    common = found.where(F.col("kind") == MET).select(F.col("at").alias("sig"), F.col("node").alias("id"))
+    lines = found.where(F.col("kind") == FIRST).select("node", F.col("at").alias("id"), "line")
     links = bucket_links(common, _texts_of(own, lines), elements, percent)
-    discard(common)
-    comp = components(links).withColumnRenamed("id", "node")
-    placed = looked_up(lines.select("id", "line", "node"), comp, "node", "left").select("id", "line", F.coalesce("component", "node").alias("c"))
-    first = placed.groupBy("c").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last")).where("first <> last")
-    return looked_up(placed, first.select("c", "first"), "c").where("struct(id, line) <> first").select("id", "line")
+    comp = components(links)
+    # all places of a line but its first go; of a component's first places one stays
+    members = written(comp.union(comp.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "node"))
+    placed = written(looked_up(lines, members, "node").select("component", "id", "line"))
+    first = placed.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"))
+    gone = looked_up(placed, first, "component").where("struct(id, line) <> first").select("id", "line")
+    return gone.union(found.where(F.col("kind") == AGAIN).select(F.col("at").alias("id"), "line"))
 
 
 def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, *, counts: bool = False) -> DataFrame:

@@ -119,16 +119,20 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
 def verified(pairs: DataFrame, elements: Callable, percent: int) -> DataFrame:
     """pairs(a, b, x, y): those whose items x and y have a Jaccard similarity of so many percent at least, as (a, b)."""
 
+    def once(ids, items):  # equal ids have equal items
+        _, first, which = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        own = elements(items.take(first))
+        return [own[k] for k in which.tolist()]
+
     def run(batches):
         import pyarrow as pa
 
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
-                _, first, which = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)  # equal a, equal x
-                once = elements(b.column(2).take(pa.array(first)))
-                left, right = [once[k] for k in which.tolist()], elements(b.column(3))
-                inter = np.array([shared(x, y) for x, y in zip(left, right, strict=True)], np.int64)
+                left, right = once(b.column(0), b.column(2)), once(b.column(1), b.column(3))
+                # no larger intersection than the smaller set
+                inter = np.array([shared(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0 for x, y in zip(left, right, strict=True)], np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - inter
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(100 * inter >= percent * union))
 
@@ -189,7 +193,7 @@ def block_links(rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[t
 def bucket_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable, percent: int, extra: DataFrame | None = None, some: DataFrame | None = None) -> DataFrame:
     """buckets(sig, id long) -> links(a, b) whose components are those of all similar pairs within buckets.
 
-    With a column tag, the signatures of one id and tag are a group of which similar ids
+    Without a column tag rows may come twice. With it, the signatures of one id and tag are a group of which similar ids
     share more than tag div 2; that many of the group's most frequent ones are left out.
     fetch: from ids(id) to (id, items); elements: from an Arrow column of items to arrays of
     distinct elements. extra: links known beforehand. some: the buckets' rows of one in SHARE ids.

@@ -290,6 +290,46 @@ def test_line_dedup_does_not_sort_texts(spark, docs):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_line_dedup_signs_and_places_lines_in_one_pass(spark, tmp_path, monkeypatch):
+    from lodestrata.llm import line_dedup as L
+
+    rows = [(2, "one line of some words\nand another line here"), (1, "one line of some words\n\none line of some words"), (1, "x\ny\nzz\nOne line of some words"), (3, "of its own\nand another line here!"), (2, "one line of some words")]
+    spark.createDataFrame(rows, "doc_id long, texts_of_test string").write.parquet(str(tmp_path / "docs"))
+    plans, written = [], L.written
+
+    def watched(df, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, **more)
+
+    monkeypatch.setattr(L, "written", watched)
+    got = L.repeated_lines(spark.read.parquet(str(tmp_path / "docs")), text="texts_of_test").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 0), (3, 1)]
+    assert sum("texts_of_test" in p and "MapInArrow" in p for p in plans) == 1
+
+
+def test_line_dedup_first_places():
+    from lodestrata.llm import line_dedup as L
+
+    rng = np.random.default_rng(3)
+    node = rng.integers(0, 1 << 64, 300, dtype=np.uint64)[rng.integers(0, 300, 20000)]
+    id, line = rng.integers(-40, 40, 20000), rng.integers(0, 30, 20000).astype(np.int32)
+    pieces: dict[int, list[bytes]] = {}
+    for part in np.array_split(np.arange(20000), 7):
+        for k, x in L.spread_places(node[part], id[part], line[part], 12):
+            pieces.setdefault(k, []).append(x)
+    again = set(zip(*[x.tolist() for x in L.places(pieces.pop(-1))[1:]], strict=True))
+    first = []
+    for x in pieces.values():
+        for n, i, k, f in zip(*[a.tolist() for a in L.first_places(x)], strict=True):
+            first += [(n, i, k)] if f else []
+            again |= set() if f else {(i, k)}
+    want: dict[int, set] = {}
+    for n, i, k in zip(node.tolist(), id.tolist(), line.tolist(), strict=True):
+        want.setdefault(n, set()).add((i, k))
+    assert sorted(first) == sorted((n, *min(x)) for n, x in want.items())
+    assert again == {p for x in want.values() for p in x - {min(x)}}
+
+
 def test_components(spark):
     import random
 
